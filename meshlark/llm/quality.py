@@ -2,7 +2,7 @@
 
 Character-class and common-word histograms of a document are compared with the histograms of its language by
 Jensen-Shannon distance (base 2, so between 0 and 1). The references are counted over all documents of the language that
-pass the base rules. DataFrame functions only; no document is exploded, so nothing but one row a document is shuffled.
+pass the base rules and have few symbols. DataFrame functions only; no document is exploded, so nothing but one row a document is shuffled.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ CLASSES = {"lower": r"[^\p{Ll}]+", "upper": r"[^\p{Lu}]+", "digit": r"[^\p{Nd}]+
 WINDOW = 8
 MIN_CHARS, MIN_WORDS = 200, 40
 CHARS_FROM, WORDS_FROM = 0.22, 0.55
+#: A document counts towards its language's reference if it has at least this many word characters for each symbol.
+REFERENCE_SYMBOLS = 100
 
 
 def repeated_window_words(w: Column, window: int = WINDOW) -> Column:
@@ -96,10 +98,10 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def language_references(rows: DataFrame) -> DataFrame:
-    """Per language: the summed histograms of the documents that pass the base rules. rows: lang, classes, common, base_failed."""
+    """Per language: the summed histograms of the documents that pass the base rules and have few symbols. rows: _lang, classes, common, n_symbols, base_failed."""
     n, m = len(CLASSES) + 1, len(dict.fromkeys(" ".join(COMMON_WORDS).split())) + 1
     sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(n)] + [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(m)]
-    per = rows.where(~F.col("base_failed")).groupBy("_lang").agg(*sums)
+    per = rows.where(~F.col("base_failed") & (REFERENCE_SYMBOLS * F.col("n_symbols") <= F.col("word_chars"))).groupBy("_lang").agg(*sums)
     return per.select("_lang", F.array(*(f"c{i}" for i in range(n))).alias("ref_classes"), F.array(*(f"w{i}" for i in range(m))).alias("ref_common"))
 
 
