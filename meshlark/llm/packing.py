@@ -7,11 +7,13 @@ then takes the planned slot that has its length and its rank among the pieces of
 from __future__ import annotations
 
 import bisect
+import functools
 import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -23,41 +25,61 @@ CAPACITY = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 #: Chunks between blanks whose ids a worker remembers; it forgets all of them beyond that.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
+#: Bytes of text that are encoded together.
+TOGETHER = 2_000_000
 
 
+@functools.cache
 def _encoder(path: str, end_id: int):
-    """text bytes -> little-endian 32-bit ids. No pattern of the tokenizer's splitter spans a blank, so chunks between blanks are encoded once each."""
+    """One for all tasks of a worker: texts -> their little-endian 32-bit ids. No pattern of the tokenizer's splitter spans a blank, so each chunk between blanks is encoded once."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    encode_batch = Tokenizer.from_file(path).encode_batch_fast
+    tokenizer = Tokenizer.from_file(path)
+    special = {t.content.encode(): i for i, t in tokenizer.get_added_tokens_decoder().items()}
+    mark, mark_id = next(iter(special.items()), (b"", -1))
     known: dict[bytes, bytes] = {}
     end = end_id.to_bytes(4, "little")
 
+    def ids(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def learn(chunks: list[bytes]) -> None:
-        if len(known) + len(chunks) > REMEMBERED:
+        """A special token between the chunks shows where the ids of each begin."""
+        plain = [c for c in chunks if not any(s in c for s in special)] if mark else []
+        if plain:
+            got = ids([mark.join(plain).decode()])[0]
+            cuts = [-1, *np.flatnonzero(got == mark_id).tolist(), len(got)]
+            raw = got.tobytes()
+            known.update(zip(plain, (raw[4 * a + 4 : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+        other = [c for c in chunks if c not in known]
+        known.update(zip(other, (x.tobytes() for x in ids([c.decode() for c in other])), strict=True))
+
+    def encode(texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]
+        new = [c for c in set().union(*split) if c not in known]
+        if len(known) + len(new) > REMEMBERED:
             known.clear()
-        for lo in range(0, len(chunks), 10_000):
-            part = chunks[lo : lo + 10_000]
-            for chunk, got in zip(part, encode_batch([c.decode() for c in part], add_special_tokens=False), strict=True):
-                known[chunk] = b"".join(i.to_bytes(4, "little") for i in got.ids)
-
-    def encode(text: bytes) -> bytes:
-        chunks = text.split()
-        try:
-            return b"".join([known[c] for c in chunks]) + end
-        except KeyError:
-            learn([c for c in dict.fromkeys(chunks) if c not in known])
-        missing = [c for c in set(chunks) if c not in known]
-        if missing:  # the memory was emptied while learning
-            own = {c: b"".join(i.to_bytes(4, "little") for i in encode_batch([c.decode()], add_special_tokens=False)[0].ids) for c in missing}
-            return b"".join([own[c] if c in own else known[c] for c in chunks]) + end
-        return b"".join([known[c] for c in chunks]) + end
+            new = list(set().union(*split))
+        learn(new)
+        return [b"".join([known[c] for c in chunks]) + end for chunks in split]
 
     return encode
 
 
+def _together(texts: list[bytes | None]) -> Iterator[list[bytes]]:
+    part, size = [], 0
+    for text in texts:
+        part.append(text or b"")
+        size += len(part[-1])
+        if size >= TOGETHER:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32. Only documents of more than `capacity` ids are cut.
 
@@ -69,11 +91,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
         encode = _encoder(tokenizer, end_id)
         step = 4 * capacity
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or b"")
-                rows += [(doc, k, at // 4, len(part) // 4, zlib.crc32(part)) for k, at in enumerate(range(0, len(ids), step)) for part in (ids[at : at + step],)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW) if rows else pa.RecordBatch.from_pylist([], schema=_ARROW)
+            docs_of, done = batch.column(0).to_pylist(), 0
+            for texts in _together(batch.column(1).to_pylist()):
+                rows = [(doc, k, at // 4, len(part) // 4, zlib.crc32(part)) for doc, ids in zip(docs_of[done:], encode(texts), strict=False) for k, at in enumerate(range(0, len(ids), step)) for part in (ids[at : at + step],)]
+                done += len(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, PIECES)
 
