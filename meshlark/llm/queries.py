@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm import mixing, packing, quality, simhash
+from meshlark.llm import mixing, packing, phrases, quality, simhash, suffixes, topk
 from meshlark.llm._common import table
 
 
@@ -34,6 +34,18 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_recurring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.recurring_words(table(spark, sf_dir, "documents"))
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(topk.integer_vectors(table(spark, sf_dir, "embeddings")), F.col("id") % 100 == 0)
+
+
+def op10_recurring_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.recurring_bytes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
