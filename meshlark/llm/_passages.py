@@ -26,6 +26,9 @@ from meshlark.llm._common import partitions, shared_dir, stored
 STRETCH = 1 << 22
 #: Contexts that a part of the index takes up together.
 TOGETHER = 4000
+#: An anchor found more often than this is replaced by its windows, each with a context of its own: equal windows are one
+#: context, so no task gets more than this many contexts of one anchor.
+CROWD = 20_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -95,7 +98,7 @@ _CONTEXT = "key string, start long, cid string, hash long, left int, many boolea
 _SPAN = "cid string, lo int, hi int"
 
 
-def recurring_spans(texts: DataFrame, units: Units, find: Callable) -> DataFrame:
+def recurring_spans(texts: DataFrame, units: Units, find: Callable, crowd: int = CROWD) -> DataFrame:
     """(key, spans): for each distinct text with recurring windows, the places [lo, hi) in units that they cover, unordered.
 
     find(contexts, lefts, many, anchors) -> [(context number, lo, hi)]: the recurring stretches of contexts, which come in
@@ -112,19 +115,22 @@ def recurring_spans(texts: DataFrame, units: Units, find: Callable) -> DataFrame
 
     # A text with copies recurs whole and needs no answer, but others may share windows with it.
     rows = stored(texts.select("key", "text").mapInArrow(_merged(anchors), _ANCHOR))
-    again = rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    hits = rows.join(again, "hash", "left_semi").groupBy("key").agg(F.collect_list(F.struct("place", "first", "last", "hash")).alias("hits"))
+    again = rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", (F.col("n") > crowd).alias("crowded"))
+    hits = rows.join(again, "hash").groupBy("key").agg(F.collect_list(F.struct("place", "first", "last", "hash", "crowded")).alias("hits"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for key, text, copies, got in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("copies").to_pylist(), batch.column("hits").to_pylist(), strict=True):
                 parts = units.split(text.as_py())
-                for hit in got:
-                    body = units.join(parts[hit["first"] : hit["last"] + units.window])
-                    left = hit["place"] - hit["first"]
-                    cid = hashlib.blake2b(body + left.to_bytes(4, "little") + hit["hash"].to_bytes(8, "little", signed=True), digest_size=16).hexdigest()
-                    out.append((key, hit["first"], cid, hit["hash"], left, copies > 1, body))
+                hits = [(hit["first"], hit["last"] + units.window, hit["place"] - hit["first"], hit["hash"]) for hit in got if not hit["crowded"]]
+                for hit in (hit for hit in got if hit["crowded"]):
+                    stretch = run_hashes(units.hashes(parts[hit["first"] : hit["last"] + units.window]), units.window).view(np.int64).tolist()
+                    hits += [(hit["first"] + i, hit["first"] + i + units.window, 0, h) for i, h in enumerate(stretch)]
+                for first, end, left, hash_ in hits:
+                    body = units.join(parts[first:end])
+                    cid = hashlib.blake2b(body + left.to_bytes(4, "little") + hash_.to_bytes(8, "little", signed=True), digest_size=16).hexdigest()
+                    out.append((key, first, cid, hash_, left, copies > 1, body))
             if out:
                 types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["key", "start", "cid", "hash", "left", "many", "context"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm import mixing, packing, phrases, quality, simhash, suffixes, topk
+from meshlark.llm import chat, html, mixing, packing, phrases, quality, secrets, simhash, suffixes, topk
 from meshlark.llm._common import table
 
 
@@ -17,6 +17,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: how many candidates and secrets it holds, the secrets' digests, and that of the text without them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = secrets.scan(docs, secrets.fit_forest(secrets.labelled_findings(spark)))
+    digests = F.array_join(F.array_sort(F.array_distinct(F.transform("findings", lambda x: F.sha2(x["token"], 256)))), " ")
+    return out.select("doc_id", "n_candidates", F.size("findings").alias("n_secrets"), digests.alias("secrets_sha256"), F.sha2(secrets.redacted(F.coalesce("text", F.lit("")), F.col("findings")), 256).alias("kept_sha256"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -34,6 +42,18 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per transcript of the conversations: the turns, roles and canonical text recovered, and how the roles compare with the given ones."""
+    texts = chat.transcripts(table(spark, sf_dir, "conversations"))
+    out = chat.format_chats(texts, chat.train(texts), ("conv_id", "part", "roles"))
+    given = F.array_join("roles", " ", "unknown")
+    return out.select("conv_id", "part", "n_turns", "recovered", given.alias("given"), (F.col("recovered") == given).alias("agrees"), "rendered")
+
+
 def op8_recurring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.recurring_words(table(spark, sf_dir, "documents"))
 
