@@ -13,11 +13,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A run of 16 to 200 characters that holds a letter and a digit, or what is assigned to a telling name; before it, up to 32 characters of its line.
-CANDIDATE = (
-    r"([^\n]{0,32}?)(?<![A-Za-z0-9+/_=.\-])"
-    r"((?=[A-Za-z+/_=.\-]{0,200}[0-9])(?=[0-9+/_=.\-]{0,200}[A-Za-z])[A-Za-z0-9+/_=.\-]{16,200})(?![A-Za-z0-9+/_=\-])"
-)
+#: A run of 16 characters or more, with the padding of base 64; those that hold a letter and a digit are candidates.
+RUN = r"(?<![A-Za-z0-9+/_.\-])[A-Za-z0-9+/_.\-]{16,}+={0,2}"
+#: Characters of the line before a candidate that are looked at.
+BEFORE = 32
 #: Words that speak for a secret, words that speak against one, and words that names are made of.
 FOR = "secret|token|api[_-]?key|apikey|passw(?:or)?d|passwd|pwd|private|credential|auth|bearer|access[_-]?key"
 AGAINST = "commit|sha-?1|sha-?256|md5|checksum|digest|hash|uuid|guid|etag|revision|integrity|version|build|href|src|file|path|isbn|example"
@@ -105,17 +104,25 @@ def forest_vote(forest: list, x: dict[str, Column]) -> Column:
 def scan(docs: DataFrame, forest: list, text_col: str = "text", from_vote: float = 0.5) -> DataFrame:
     """docs, n_candidates and findings: an array of (left, token, vote) in order of the text, without repeats.
 
-    A null text has no candidates. A finding is a candidate with at least from_vote of the votes.
+    A null text has no candidates. A finding is a candidate with at least from_vote of the votes. left: up to BEFORE
+    characters before the candidate, from its line and after the run before it.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lefts, tokens = (F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(k)) for k in (1, 2))
-    rows = docs.withColumn("_candidates", F.array_distinct(F.arrays_zip(lefts.alias("left"), tokens.alias("token"))))
+    rows = docs.withColumn("_runs", F.regexp_extract_all(text, F.lit(RUN), F.lit(0)))
+    between = F.when(F.size("_runs") > 0, F.split(text, RUN))
+
+    def candidate(run: Column, left: Column) -> Column:
+        return F.struct(F.element_at(F.split(F.right(left, F.lit(BEFORE)), "\n"), -1).alias("left"), F.rtrim(run, F.lit(".")).alias("token"))
+
+    holds = lambda c: c["token"].rlike("[0-9]") & c["token"].rlike("[A-Za-z]") & (F.length(c["token"]) >= 16)
+    pairs = F.zip_with("_runs", F.slice(between, 1, F.size("_runs")), candidate)
+    rows = rows.withColumn("_candidates", F.when(F.size("_runs") > 0, F.array_distinct(F.filter(pairs, holds))).otherwise(F.expr("array()").cast("array<struct<left string, token string>>")))
 
     def judged(c: Column) -> Column:
         return F.transform(F.array(F.struct(*(v.alias(k) for k, v in features(c["left"], c["token"]).items()))), lambda x: F.struct(c["left"].alias("left"), c["token"].alias("token"), forest_vote(forest, {k: x[k] for k in FEATURES}).alias("vote")))[0]
 
     found = F.filter(F.transform("_candidates", judged), lambda x: x["vote"] >= from_vote)
-    return rows.withColumn("n_candidates", F.size("_candidates")).withColumn("findings", found).drop("_candidates")
+    return rows.withColumn("n_candidates", F.size("_candidates")).withColumn("findings", found).drop("_runs", "_candidates")
 
 
 def redacted(text: Column, findings: Column, mask: str = MASK) -> Column:
