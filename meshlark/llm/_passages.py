@@ -115,7 +115,8 @@ def recurring_spans(texts: DataFrame, units: Units, find: Callable, crowd: int =
 
     # A text with copies recurs whole and needs no answer, but others may share windows with it.
     rows = stored(texts.select("key", "text").mapInArrow(_merged(anchors), _ANCHOR))
-    again = rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", (F.col("n") > crowd).alias("crowded"))
+    # Written, so that the join deals out its rows itself and can split an anchor that very many texts share.
+    again = stored(rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", (F.col("n") > crowd).alias("crowded")))
     hits = rows.join(again, "hash").groupBy("key").agg(F.collect_list(F.struct("place", "first", "last", "hash", "crowded")).alias("hits"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +158,7 @@ def recurring_spans(texts: DataFrame, units: Units, find: Callable, crowd: int =
 
     n = partitions(spark)
     answers = once.select("cid", "hash", "left", "context", "many").repartition(n, "hash").sortWithinPartitions("hash").mapInArrow(index, _SPAN)
-    per = answers.groupBy("cid").agg(F.collect_list(F.struct("lo", "hi")).alias("s"))
+    per = stored(answers.groupBy("cid").agg(F.collect_list(F.struct("lo", "hi")).alias("s")))  # written for the same reason: a context may have very many places
     spans = found.select("key", "start", "cid").join(per, "cid").select("key", F.explode("s").alias("s"), "start")
     return spans.groupBy("key").agg(F.collect_set(F.struct((F.col("start") + F.col("s.lo")).alias("lo"), (F.col("start") + F.col("s.hi")).alias("hi"))).alias("spans"))
 
