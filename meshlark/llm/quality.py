@@ -83,7 +83,13 @@ def histograms(text: Column) -> tuple[Column, Column]:
     common = list(dict.fromkeys(" ".join(COMMON_WORDS).split()))
     listed = F.array(*(F.lit(x) for x in common))
     tokens = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda x: x != "")
-    counted = lambda t: let(F.filter(t, lambda x: F.array_contains(listed, x)), lambda hit: F.concat(F.transform(listed, lambda c: F.size(F.filter(hit, lambda x: x == c))), F.array(F.size(t) - F.size(hit))))
+
+    def counted(t: Column) -> Column:
+        """Each common word of the text becomes one character, and what is left without that character gives its count."""
+        hits = F.array_join(F.transform(F.filter(t, lambda x: x.isin(*common)), lambda x: F.char(F.array_position(listed, x) + F.lit(33))), "")
+        counts = lambda h: [F.length(h) - F.length(F.replace(h, F.lit(chr(34 + k)), F.lit(""))) for k in range(len(common))]
+        return let(hits, lambda h: F.array(*counts(h), F.size(t) - F.length(h)))
+
     return classes, let(tokens, counted)
 
 
