@@ -100,7 +100,7 @@ def js_distance(p: Column, q: Column) -> Column:
     half = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
     terms = lambda a, b: F.zip_with(a, b, lambda x, y: half(x, (x + y) / 2) + half(y, (x + y) / 2))
     value = let(share(p), lambda a: let(share(q), lambda b: F.when(F.get(a, F.lit(0)).isNotNull() & F.get(b, F.lit(0)).isNotNull(), total(terms(a, b)))))
-    return F.sqrt(F.greatest(value / 2, F.lit(0.0)))
+    return let(value, lambda v: F.when(v.isNotNull(), F.sqrt(F.greatest(v / 2, F.lit(0.0)))))
 
 
 def language_references(rows: DataFrame) -> DataFrame:
