@@ -25,6 +25,8 @@ BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 LEAF = 64
 #: Fingerprints below one mask that a task holds at once; larger nodes are split and their parts compared in pairs.
 PART = 4096
+#: Nearest rows of each row that a node over LEAF rows names besides its spanning forest.
+FEW = 4
 _BITS_OF = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -104,8 +106,8 @@ def _differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def _near(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows of a and b (of a and later rows of a, if b is None) at `radius` or fewer differing bits.
+def _near(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of rows of a and b (of a and later rows of a, if b is None) at `radius` or fewer differing bits, and how many differ.
 
     Rows are in Gray order; leaves of LEAF rows whose common bits differ too much are left out whole.
     """
@@ -117,20 +119,22 @@ def _near(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray,
 
     (ones_a, any_a), (ones_b, any_b) = nodes(a), nodes(other)
     least = np.bitwise_count((ones_a[:, None] & ~any_b[None]) | (ones_b[None] & ~any_a[:, None])).sum(-1, dtype=np.int64)
-    found_a, found_b = [], []
+    found_a, found_b, found_d = [], [], []
     for i, j in zip(*np.nonzero(least <= radius), strict=True):
         if b is None and j < i:
             continue
         x, y = a[i * LEAF : (i + 1) * LEAF], other[j * LEAF : (j + 1) * LEAF]
-        p, q = np.nonzero(_differences(x[:, None], y[None]) <= radius)
-        p, q = p + i * LEAF, q + j * LEAF
+        d = _differences(x[:, None], y[None])
+        p, q = np.nonzero(d <= radius)
+        d, p, q = d[p, q].astype(np.int16), p + i * LEAF, q + j * LEAF
         if b is None:
-            p, q = p[q > p], q[q > p]
+            d, p, q = d[q > p], p[q > p], q[q > p]
         found_a.append(p)
         found_b.append(q)
+        found_d.append(d)
     if not found_a:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(found_a), np.concatenate(found_b)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int16)
+    return np.concatenate(found_a), np.concatenate(found_b), np.concatenate(found_d)
 
 
 def _forest(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -147,23 +151,39 @@ def _forest(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _closest(n: int, p: np.ndarray, q: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Places of the pairs of a minimum spanning forest of n nodes (p, q at distance d) and of each node's FEW nearest ones."""
+    order = np.argsort(d, kind="stable")
+    label, chosen, open_ = np.arange(n), np.zeros(len(p), bool), order
+    while len(open_):  # each tree takes its shortest way out
+        best = np.full(n, len(open_))
+        for ends in (p, q):
+            np.minimum.at(best, label[ends[open_]], np.arange(len(open_)))
+        took = open_[np.unique(best[best < len(open_)])]
+        chosen[took] = True
+        label = _forest(n, label[p[took]], label[q[took]])[label]
+        open_ = open_[label[p[open_]] != label[q[open_]]]
+    ends, at = np.concatenate((p[order], q[order])), np.concatenate((order, order))
+    near = np.argsort(ends * (int(d.max()) + 1) + d[at], kind="stable")
+    ends = ends[near]
+    chosen[at[near[np.arange(len(ends)) - np.searchsorted(ends, ends) < FEW]]] = True
+    return np.flatnonzero(chosen)
+
+
 def _links(a: np.ndarray, ids_a: np.ndarray, b: np.ndarray | None, ids_b: np.ndarray | None, radius: int, spans: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids: either a spanning forest of all near pairs, or each row's near pairs with its next few in order and with its root."""
-    p, q = _near(a, b, radius)
+    """Pairs of ids: either a spanning forest of all near pairs, or a minimum spanning forest and each row's nearest few."""
+    p, q, d = _near(a, b, radius)
     if not len(p):
         return p, q
     ids = ids_a if b is None else np.concatenate((ids_a, ids_b))
     if b is not None:
         q = q + len(a)
-    root = _forest(len(ids), p, q)
-    own = np.flatnonzero(root != np.arange(len(ids)))
     if spans:
+        root = _forest(len(ids), p, q)
+        own = np.flatnonzero(root != np.arange(len(ids)))
         return ids[own], ids[root[own]]
-    order = np.lexsort((q, p))
-    p, q = p[order], q[order]
-    place = np.arange(len(p)) - np.searchsorted(p, p)
-    p, q = np.concatenate((p[place < 4], own)), np.concatenate((q[place < 4], root[own]))
-    return ids[p], ids[q]
+    at = _closest(len(ids), p, q, d)
+    return ids[p[at]], ids[q[at]]
 
 
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("mask", pa.int32()), ("key", pa.int64()), ("part", pa.string()), ("ids", pa.list_(pa.int64())), ("fps", pa.list_(pa.int64())), ("ones", pa.list_(pa.int64())), ("zeros", pa.list_(pa.int64()))])
@@ -259,8 +279,9 @@ def _scan(batches: Iterator[pa.RecordBatch], radius: int, spans: bool) -> Iterat
 def links(entries: DataFrame, radius: int = RADIUS, masks: list[list[int]] | None = None, spans: bool = True) -> DataFrame:
     """Pairs (a, b) of ids of entries (id long, distinct; fp) at `radius` or fewer differing bits.
 
-    With spans, only enough pairs to connect what is connected; else also up to four near ones below each mask a row,
-    for a later exact check. entries is read twice: store it first.
+    With spans, only enough pairs to connect what is connected; else, for a later exact check, all of a small node, and
+    of a larger one a minimum spanning forest (closest pairs first) and each row's nearest few. entries is read twice:
+    store it first.
     """
     masks = masks or block_masks(radius)
     spark = entries.sparkSession
