@@ -9,6 +9,7 @@ from __future__ import annotations
 import bisect
 import functools
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,15 +25,30 @@ from meshlark.llm._common import partitions, stored
 CAPACITY = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-#: Chunks between blanks whose ids a worker remembers; it forgets all of them beyond that.
+#: Chunks between blanks whose ids a worker remembers; beyond that it forgets all that the next texts do not use.
 REMEMBERED = 600_000
 #: Bytes of text that are encoded together.
 TOGETHER = 2_000_000
 
 
+#: Where a mark ends a word: a splitter that parts letters, digits and marks cuts here anyway.
+_MARK_AFTER = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?](?:\s|$))")
+
+
+def _visible_bytes() -> dict[int, int]:
+    """The byte-level alphabet: bytes that print stand for themselves, the others follow from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {x: 256 + k for k, x in enumerate(x for x in range(256) if x not in prints)}
+
+
 @functools.cache
 def _encoder(path: str, end_id: int):
-    """One for all tasks of a worker: texts -> their little-endian 32-bit ids. No pattern of the tokenizer's splitter spans a blank, so each chunk between blanks is encoded once."""
+    """One for all tasks of a worker: texts -> their little-endian 32-bit ids.
+
+    No pattern of the tokenizer's splitter spans a blank, so each chunk between blanks is encoded once. If the tokenizer
+    makes A-Z small and parts letters from marks (which is tried on all Latin letters), chunks are lower-cased first,
+    marks at their ends are chunks of their own, and letters alone go straight to its model.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -40,28 +56,65 @@ def _encoder(path: str, end_id: int):
     special = {t.content.encode(): i for i, t in tokenizer.get_added_tokens_decoder().items()}
     mark, mark_id = next(iter(special.items()), (b"", -1))
     known: dict[bytes, bytes] = {}
-    end = end_id.to_bytes(4, "little")
+    end, model, visible = end_id.to_bytes(4, "little"), tokenizer.model, _visible_bytes()
 
     def ids(texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def letters(chunk: bytes) -> bytes | None:
+        """Ids of a chunk of Latin letters, none for other chunks."""
+        if chunk.isalpha():
+            word = chunk.decode().lower()
+        else:
+            small = chunk.decode().lower()
+            if not small.isalpha() or max(small) >= "\u0250":
+                return None
+            word = small.encode().decode("latin-1").translate(visible)
+        return b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(word)])
+
+    def simple() -> bool:
+        latin = [x for x in map(chr, range(0x250)) if x.isalpha()]
+        words = [y for x in latin for y in (x, f"{x}{x}", f"an{x}er")]
+        if any(letters(w.encode()) not in (None, got.tobytes()) for w, got in zip(words, ids(words), strict=True)):
+            return False
+        pairs = [(x, y) for x in "abcdefghijklmnopqrstuvwxyz0123456789" for y in ".,;:!?"]
+        alone = dict(zip(got := sorted({c for p in pairs for c in p}), (x.tobytes() for x in ids(got)), strict=True))
+        return all(x.tobytes() == alone[p[0]] + alone[p[1]] for p, x in zip(pairs, ids(["".join(p) for p in pairs]), strict=True))
+
+    parted = simple()
+
+    def chunks_of(text: bytes) -> list[bytes]:
+        if parted:
+            small = text.lower()
+            if all(small.count(s) == text.count(s) for s in special):
+                return _MARK_AFTER.sub(b" ", small).split()
+        return text.split()
+
     def learn(chunks: list[bytes]) -> None:
         """A special token between the chunks shows where the ids of each begin."""
-        plain = [c for c in chunks if not any(s in c for s in special)] if mark else []
+        if parted:
+            for c in chunks:
+                if (got := letters(c)) is not None:
+                    known[c] = got
+            chunks = [c for c in chunks if c not in known]
+        plain = [c for c in chunks if not any(s in c.lower() for s in special)] if mark else []
         if plain:
             got = ids([mark.join(plain).decode()])[0]
             cuts = [-1, *np.flatnonzero(got == mark_id).tolist(), len(got)]
             raw = got.tobytes()
-            known.update(zip(plain, (raw[4 * a + 4 : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+            if len(cuts) == len(plain) + 1:
+                known.update(zip(plain, (raw[4 * a + 4 : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
         other = [c for c in chunks if c not in known]
         known.update(zip(other, (x.tobytes() for x in ids([c.decode() for c in other])), strict=True))
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = [c for c in set().union(*split) if c not in known]
-        if len(known) + len(new) > REMEMBERED:
+        split = [chunks_of(t) for t in texts]
+        here = set().union(*split)
+        new = [c for c in here if c not in known]
+        if len(known) + len(new) > REMEMBERED:  # keep what these texts use
+            used = {c: known[c] for c in here if c in known}
             known.clear()
-            new = list(set().union(*split))
+            known.update(used)
         learn(new)
         return [b"".join([known[c] for c in chunks]) + end for chunks in split]
 
