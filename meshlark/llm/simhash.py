@@ -27,6 +27,8 @@ LEAF = 64
 PART = 4096
 #: Nearest rows of each row that a node over LEAF rows names besides its spanning forest.
 FEW = 4
+#: Rows on either side of a tile of pairs that a node did not name.
+TILE = 512
 _BITS_OF = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -177,24 +179,46 @@ def _closest(n: int, p: np.ndarray, q: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
-def _links(a: np.ndarray, ids_a: np.ndarray, b: np.ndarray | None, ids_b: np.ndarray | None, radius: int, spans: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids: either a spanning forest of all near pairs, or a minimum spanning forest and each row's nearest few."""
+def _links(a: np.ndarray, ids_a: np.ndarray, b: np.ndarray | None, ids_b: np.ndarray | None, radius: int, spans: bool) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Pairs of ids, and tiles that hold all other near pairs.
+
+    With spans, the pairs are a spanning forest of all near pairs, and no tile is needed; else a minimum spanning forest and
+    each row's nearest few. A tile is two lists of ids, and a pair that was not named has one end in either.
+    """
     p, q, d = _near(a, b, radius)
     if not len(p):
-        return p, q
+        return p, q, []
     ids = ids_a if b is None else np.concatenate((ids_a, ids_b))
     if b is not None:
         q = q + len(a)
     if spans:
         root = _forest(len(ids), p, q)
         own = np.flatnonzero(root != np.arange(len(ids)))
-        return ids[own], ids[root[own]]
+        return ids[own], ids[root[own]], []
     at = _closest(len(ids), p, q, d)
-    return ids[p[at]], ids[q[at]]
+    rest = np.ones(len(p), bool)
+    rest[at] = False
+    return ids[p[at]], ids[q[at]], _tiles(ids, p[rest], q[rest])
+
+
+def _tiles(ids: np.ndarray, p: np.ndarray, q: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Two lists of at most TILE ids for each two runs of TILE rows that some of the pairs join: the ends of these pairs."""
+    runs = len(ids) // TILE + 1
+    tile = p // TILE * runs + q // TILE
+    order = np.argsort(tile, kind="stable")
+    cut = np.flatnonzero(np.diff(tile[order])) + 1
+    return [(ids[np.unique(p[at])], ids[np.unique(q[at])]) for at in np.split(order, cut) if len(at)]
+
 
+_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("mask", pa.int32()), ("key", pa.int64()), ("part", pa.string()), ("ids", pa.list_(pa.int64())), ("fps", pa.list_(pa.int64())), ("ones", pa.list_(pa.int64())), ("zeros", pa.list_(pa.int64())), ("ids_b", pa.list_(pa.int64()))])
+_EDGE_SQL = "a long, b long, mask int, key long, part string, ids array<long>, fps array<long>, ones array<long>, zeros array<long>, ids_b array<long>"
 
-_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("mask", pa.int32()), ("key", pa.int64()), ("part", pa.string()), ("ids", pa.list_(pa.int64())), ("fps", pa.list_(pa.int64())), ("ones", pa.list_(pa.int64())), ("zeros", pa.list_(pa.int64()))])
-_EDGE_SQL = "a long, b long, mask int, key long, part string, ids array<long>, fps array<long>, ones array<long>, zeros array<long>"
+
+def _linked(mask: int, p: np.ndarray, q: np.ndarray, tiles: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Pairs of ids and the tiles below a mask; the first ids of a tile's lists tell it from all others."""
+    pairs = pa.RecordBatch.from_arrays([pa.array(p), pa.array(q), *(pa.nulls(len(p), f.type) for f in list(_EDGE)[2:])], schema=_EDGE)
+    rows = [{"mask": mask, "part": uuid.uuid5(uuid.NAMESPACE_OID, f"tile {mask},{x[0]},{y[0]}").hex, "ids": x.tolist(), "ids_b": y.tolist()} for x, y in tiles]
+    return pa.concat_batches([pairs, pa.RecordBatch.from_pylist(rows, schema=_EDGE)])
 
 
 def _keyed(batches: Iterator[pa.RecordBatch], masks: list[list[int]]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +236,7 @@ def _keyed(batches: Iterator[pa.RecordBatch], masks: list[list[int]]) -> Iterato
 
 
 def _scan(batches: Iterator[pa.RecordBatch], radius: int, spans: bool) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (mask, key, rank): links within nodes; and the parts of nodes that other parts or tasks may share."""
+    """Rows in order of (mask, key, rank): links and tiles within nodes; and the parts of nodes that other parts or tasks may share."""
     held: list[np.ndarray] = []
     first = True
 
@@ -220,14 +244,10 @@ def _scan(batches: Iterator[pa.RecordBatch], radius: int, spans: bool) -> Iterat
         n = batch.num_rows
         return [np.asarray(batch.column("mask")).astype(np.int64), np.asarray(batch.column("key")), np.asarray(batch.column("id")), np.asarray(batch.column("fp").flatten()).reshape(n, -1).view(np.uint64)]
 
-    def linked(p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
-        none = [pa.nulls(len(p), f.type) for f in list(_EDGE)[2:]]
-        return pa.RecordBatch.from_arrays([pa.array(p), pa.array(q), *none], schema=_EDGE)
-
     def parts(mask: int, key: int, ids: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(ids), PART):
             x = fps[lo : lo + PART]
-            yield linked(*_links(x, ids[lo : lo + PART], None, None, radius, spans))
+            yield _linked(mask, *_links(x, ids[lo : lo + PART], None, None, radius, spans))
             row = {"mask": mask, "key": key, "part": uuid.uuid5(uuid.NAMESPACE_OID, f"{mask},{key},{ids[lo]}").hex, "ids": ids[lo : lo + PART].tolist(), "fps": x.view(np.int64).ravel().tolist()}
             row |= {"ones": np.bitwise_and.reduce(x, 0).view(np.int64).tolist(), "zeros": (~np.bitwise_or.reduce(x, 0)).view(np.int64).tolist()}
             yield pa.RecordBatch.from_pylist([row], schema=_EDGE)
@@ -246,7 +266,7 @@ def _scan(batches: Iterator[pa.RecordBatch], radius: int, spans: bool) -> Iterat
             if edge[k] or size[k] > PART:
                 yield from parts(int(mask[starts[k]]), int(key[starts[k]]), ids[s], fps[s])
             else:
-                yield linked(*_links(fps[s], ids[s], None, None, radius, spans))
+                yield _linked(int(mask[starts[k]]), *_links(fps[s], ids[s], None, None, radius, spans))
         small = np.repeat(~edge & (size <= LEAF) & (size > 1), size)  # all small nodes at once: each row with the s-th after it
         node = np.repeat(np.arange(len(starts)), size)[small]
         fps, ids, got_p, got_q = fps[small], ids[small], [], []
@@ -261,7 +281,7 @@ def _scan(batches: Iterator[pa.RecordBatch], radius: int, spans: bool) -> Iterat
                 root = _forest(len(ids), p, q)
                 p = np.flatnonzero(root != np.arange(len(ids)))
                 q = root[p]
-            yield linked(ids[p], ids[q])
+            yield _linked(0, ids[p], ids[q], [])
 
     def join(pieces: list[list[np.ndarray]]) -> list[np.ndarray]:
         return [np.concatenate(c) for c in zip(*pieces, strict=True)]
@@ -283,35 +303,41 @@ def _scan(batches: Iterator[pa.RecordBatch], radius: int, spans: bool) -> Iterat
         yield from nodes(held, True)
 
 
-def links(entries: DataFrame, radius: int = RADIUS, masks: list[list[int]] | None = None, spans: bool = True) -> DataFrame:
-    """Pairs (a, b) of ids of entries (id long, distinct; fp) at `radius` or fewer differing bits.
+def candidates(entries: DataFrame, radius: int = RADIUS, masks: list[list[int]] | None = None, spans: bool = False) -> tuple[DataFrame, DataFrame]:
+    """For an exact check: pairs (a, b) of ids of entries (id long, distinct; fp), and tiles (part, mask, ids, ids_b).
 
-    With spans, only enough pairs to connect what is connected; else, for a later exact check, all of a small node, and
-    of a larger one a minimum spanning forest (closest pairs first) and each row's nearest few. entries is read twice:
-    store it first.
+    All pairs at `radius` or fewer differing bits that agree under a mask are named or have one end in either list of a
+    tile of the first such mask. Small nodes name all; of larger ones a minimum spanning forest (closest pairs first) and
+    each row's nearest few are named, and the rest is in tiles. entries is read twice: store it first.
     """
     masks = masks or block_masks(radius)
     spark = entries.sparkSession
     keyed = entries.select("id", "fp").mapInArrow(lambda b: _keyed(b, masks), "mask int, key long, rank long, id long, fp array<long>")
     ordered = keyed.repartitionByRange(partitions(spark), "mask", "key", "rank", "id").sortWithinPartitions("mask", "key", "rank", "id")
     found = stored(ordered.mapInArrow(lambda b: _scan(b, radius, spans), _EDGE_SQL))
-    within = found.where(F.col("a").isNotNull()).select("a", "b")
-    heads = found.where(F.col("part").isNotNull()).select("mask", "key", "part", "ones", "zeros")
+    split = found.where(F.col("ones").isNotNull())
+    heads = split.select("mask", "key", "part", "ones", "zeros")
     other = heads.select("mask", "key", *(F.col(c).alias(f"{c}_b") for c in ("part", "ones", "zeros")))
     differ = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseAND(v))), F.lit(0), lambda t, v: t + v)
     pairs = heads.join(other, ["mask", "key"]).where((F.col("part") < F.col("part_b")) & (differ("ones", "zeros_b") + differ("zeros", "ones_b") <= radius))
-    body = found.where(F.col("part").isNotNull()).select("part", "ids", "fps")
-    both = pairs.select("part", "part_b").join(body, "part").join(body.select(F.col("part").alias("part_b"), F.col("ids").alias("ids_b"), F.col("fps").alias("fps_b")), "part_b")
+    body = split.select("part", "ids", "fps")
+    both = pairs.select("mask", "part", "part_b").join(body, "part").join(body.select(F.col("part").alias("part_b"), F.col("ids").alias("ids_b"), F.col("fps").alias("fps_b")), "part_b")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 ids, ids_b = (np.array(row[c], np.int64) for c in ("ids", "ids_b"))
                 x, y = (np.array(row[c], np.int64).view(np.uint64).reshape(len(i), -1) for c, i in (("fps", ids), ("fps_b", ids_b)))
-                p, q = _links(x, ids, y, ids_b, radius, spans)
-                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q)], names=["a", "b"])
+                yield _linked(row["mask"], *_links(x, ids, y, ids_b, radius, spans))
+
+    met = both.select("mask", "ids", "fps", "ids_b", "fps_b").mapInArrow(across, _EDGE_SQL)
+    every = found.unionByName(met if spans else stored(met))
+    return every.where(F.col("a").isNotNull()).select("a", "b"), every.where(F.col("ids_b").isNotNull()).select("part", "mask", "ids", "ids_b")
+
 
-    return within.unionByName(both.select("ids", "fps", "ids_b", "fps_b").mapInArrow(across, "a long, b long"))
+def links(entries: DataFrame, radius: int = RADIUS, masks: list[list[int]] | None = None) -> DataFrame:
+    """Enough pairs (a, b) of ids of entries (id long, distinct; fp) to connect what pairs at `radius` or fewer differing bits do. Store entries first."""
+    return candidates(entries, radius, masks, spans=True)[0]
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -348,4 +374,4 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS,
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-__all__ = ["block_masks", "components", "fingerprints", "links", "near_duplicates", "random_masks"]
+__all__ = ["block_masks", "candidates", "components", "fingerprints", "links", "near_duplicates", "random_masks"]
