@@ -140,7 +140,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     row = F.struct(*(F.col(c) for c in docs.columns))
     one = stored(docs.select(key.alias("id"), F.struct(F.col(id_col).isNull(), F.col(id_col)).alias("rank"), row.alias("doc")).groupBy("id").agg(F.min_by("doc", "rank").alias("doc")))
     texts = one.select("id", F.col("doc")[text_col].alias("text"), F.col("doc")[id_col].alias("doc_id"))
-    prints = stored(fingerprints(texts, size, words=WORDS, keep=("id",)))
+    prints = stored(fingerprints(texts, size, words=WORDS, keep=("id",), distinct=True))
     masks = masks_for(prints.count())
     pairs, tiles = candidates(prints, RADIUS, masks)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -55,10 +55,10 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, words: int = 1, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, words: int = 1, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), distinct: bool = False) -> DataFrame:
     """keep columns and fp, an array of `words` longs: the k-th is the fingerprint of the hashes mixed anew k times.
 
-    A null or blank text has fingerprint zero.
+    With distinct, each shingle votes once, however often it occurs, as in a Jaccard similarity of sets. A null or blank text has fingerprint zero.
     """
     spread = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1)) for k in range(words)]
     rows = docs.select(*keep, F.col(text_col).cast("binary").alias("_text"))
@@ -77,6 +77,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, words:
             out = []
             for text in batch.column("_text"):
                 h = shingle_hashes(text.as_py() or b"", size, seed)
+                h = np.unique(h) if distinct else h
                 out.append([majority(mixed(h, k)) for k in range(words)])
             fp = pa.array([[x - 2**64 if x >= 2**63 else x for x in row] for row in out], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), fp], names=[*keep, "fp"])

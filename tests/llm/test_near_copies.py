@@ -124,3 +124,14 @@ def test_pairs_and_tiles_hold_all_that_is_near(spark):
                 near += 1
                 assert frozenset((a, b)) in named or frozenset((a, b)) in held[first]
     assert near > 10 * len(fps)
+
+
+def test_copies_that_repeat_a_line_more_often(spark):
+    """300 words with a line of ten words once against eight and twelve times: 0.98 and more as sets, far apart by votes."""
+    dice, rows = random.Random(4), []
+    for k in range(40):
+        words = [f"w{dice.randrange(5000)}" for _ in range(300)]
+        line = "\n" + " ".join(f"line{k}x{i}" for i in range(10)) + "\n"
+        rows += [(2 * k, " ".join(words[:150]) + line + " ".join(words[150:]), None, None, None, None), (2 * k + 1, " ".join(words[:150]) + line * (8, 12)[k % 2] + " ".join(words[150:]), None, None, None, None)]
+    got = [r["doc_id"] for r in near_copies.keep_one(spark.createDataFrame(rows, DOCS)).select("doc_id").collect()]
+    assert sorted(got) == list(range(0, 80, 2))
