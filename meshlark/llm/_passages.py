@@ -1,11 +1,13 @@
 """Passages that recur anywhere in the corpus, found without shuffling every window of every text.
 
-Texts are units: words or bytes. Each window of W units has an anchor, the run of k units inside it with the least hash
-(the leftmost of equals), so equal windows have equal anchors at equal places. Only anchors that occur twice can carry
-a recurring window; of these, each distinct context (all windows with that anchor at that place) goes once to the part of
-the corpus-wide index that owns the anchor, however many documents hold it, and the answer is joined back.
-
-Equal texts are one text with a count, so a group of copies, whatever its size, is one row in all that follows.
+Texts are units: words or bytes. Each window of W units has an anchor, the run of k units that begins where a short hash
+is least among the runs inside it (the leftmost of equals), so equal windows have equal anchors at equal places. Only
+anchors that occur twice can carry a recurring window. The stretch of a text that holds all windows of such an anchor goes
+to the part of the corpus-wide index that owns the anchor, equal stretches once, and the answer is joined back.
+
+Equal texts are one text with a count, so a group of copies, whatever its size, is one row in all that follows. An anchor
+with more than CROWD different stretches is settled by 128-bit digests of its windows instead, one key a window, so no part of
+the index gets more than that many stretches of one anchor; the rows are the same either way.
 """
 
 from __future__ import annotations
@@ -22,25 +24,22 @@ from pyspark.sql import functions as F
 
 from meshlark.llm._common import partitions, shared_dir, stored
 
-#: Units hashed at a time; longer texts are taken in overlapping stretches.
-STRETCH = 1 << 22
-#: Contexts that a part of the index takes up together.
-TOGETHER = 4000
-#: An anchor found more often than this is replaced by its windows, each with a context of its own: equal windows are one
-#: context, so no task gets more than this many contexts of one anchor.
-CROWD = 20_000
+#: Bytes of text whose anchors are sought together; longer texts are taken in overlapping pieces.
+TOGETHER = 1 << 20
+#: Different stretches of an anchor that go to one part of the index.
+CROWD = 1000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
 @dataclass(frozen=True)
 class Units:
-    """What a text is made of. split: bytes -> list of words, or the bytes; join: its inverse for a slice."""
+    """What a text is made of. split: bytes -> list of words, or the bytes; join: its inverse for a slice; hashes: (order, run words) of many split texts."""
 
     window: int
     anchor: int
     split: Callable
     join: Callable
-    hashes: Callable
+    order: Callable
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -49,118 +48,150 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of each run of k unit hashes: doubling powers of two, so it costs log k passes."""
-    out, width = None, 1
-    power, done = h, 0
-    while True:
-        if k & width:
-            out = power if out is None else mixed(out[: len(out) - width] * np.uint64(0x9E3779B97F4A7C15) + power[done : done + len(out) - width])
-            done += width
-        if 2 * width > k:
-            return out
-        power = mixed(power[:-width] * np.uint64(0xD6E8FEB86659FD93) + power[width:])
-        width *= 2
+def chained(words: list[np.ndarray]) -> np.ndarray:
+    """One 64-bit hash of the values that stand at the same index of all arrays."""
+    out = np.full(len(words[0]), 0x9E3779B97F4A7C15, np.uint64)
+    for w in words:
+        out = mixed((out ^ w) * np.uint64(0xD6E8FEB86659FD93))
+    return out
 
 
-def anchors_of(h: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
-    """(anchor place, first window, last window, anchor hash) of each anchor, in order."""
-    got = [np.empty((4, 0), np.int64)]
-    for at in range(0, max(len(h) - window + 1, 0), STRETCH):
-        run = run_hashes(h[at : at + STRETCH + window - 1], k)
-        w = window - k + 1
-        key = (run & ~_PLACE) | np.arange(len(run), dtype=np.uint64)
-        n = len(key) - w + 1
-        pad = np.full(-len(key) % w, np.iinfo(np.uint64).max, np.uint64)
-        blocks = np.concatenate((key, pad)).reshape(-1, w)
-        ahead = np.minimum.accumulate(blocks, 1).ravel()
-        behind = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
-        place = (np.minimum(behind[:n], ahead[w - 1 : w - 1 + n]) & _PLACE).astype(np.int64)
-        first = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1))
-        last = np.concatenate((first[1:] - 1, [n - 1]))
-        got.append(np.stack((place[first] + at, first + at, last + at, run[place[first]].view(np.int64))))
-    return tuple(np.concatenate(got, 1))
+def least_ahead(key: np.ndarray, w: int) -> np.ndarray:
+    """The least of key[i : i + w] for each i that has so many, by doubling."""
+    width = 1
+    while 2 * width <= w:
+        key = np.minimum(key[:-width], key[width:])
+        width *= 2
+    return key if width == w else np.minimum(key[: len(key) - (w - width)], key[w - width :])
+
+
+def anchors_of(texts: list, units: Units) -> tuple[np.ndarray, ...]:
+    """(text number, anchor place, first window, last window, anchor hash) of each anchor of the texts, in order."""
+    window, w = units.window, units.window - units.anchor + 1
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    off = np.concatenate(([0], np.cumsum(size)))
+    if off[-1] < window:
+        return (np.empty(0, np.int64),) * 5
+    order, run = units.order(texts)
+    key = (order & ~_PLACE) | np.arange(len(order), dtype=np.uint64)
+    place = (least_ahead(key, w) & _PLACE).astype(np.int64)
+    steps = np.zeros(off[-1] + 1, np.int32)
+    has = size >= window
+    steps[off[:-1][has]] += 1
+    np.add.at(steps, off[:-1][has] + size[has] - window + 1, -1)
+    starts = np.flatnonzero(np.cumsum(steps[:-1]))
+    place = place[starts]
+    new = np.concatenate(([True], (place[1:] != place[:-1]) | (np.diff(starts) != 1)))
+    first, last = starts[new], starts[np.append(new[1:], True)]
+    place = place[new]
+    text = np.searchsorted(off, first, "right") - 1
+    return text, place - off[text], first - off[text], last - off[text], run(place).view(np.int64)
+
+
+def _pieces(texts: list, window: int) -> Iterator[tuple[list, list[tuple[int, int]]]]:
+    """Lists of pieces of texts of about TOGETHER bytes, and the text number and offset of each piece; every window lies in one piece."""
+    held, where, size = [], [], 0
+    for k, text in enumerate(texts):
+        for at in range(0, max(len(text) - window + 1, 0), TOGETHER):
+            piece = text[at : at + TOGETHER + window - 1]
+            held.append(piece)
+            where.append((k, at))
+            size += len(piece)
+            if size >= TOGETHER:
+                yield held, where
+                held, where, size = [], [], 0
+    if held:
+        yield held, where
 
 
 def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """key (SHA-256), text (bytes) and copies of each distinct text that is neither null nor empty, bucketed by key in the shared folder."""
+    """key (half a SHA-256), text (bytes) and copies of each distinct text that is neither null nor empty, bucketed by key in the shared folder."""
     spark = docs.sparkSession
     text = F.col(text_col)
-    rows = docs.where(F.length(text) > 0).select(F.sha2(text.cast("binary"), 256).alias("key"), text.cast("binary").alias("text"))
+    rows = docs.where(F.length(text) > 0).select(_key(text).alias("key"), text.cast("binary").alias("text"))
     rows = rows.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     name = f"meshlark_{uuid.uuid4().hex}"
     rows.write.option("path", f"{shared_dir(spark)}/meshlark-tables/{name}").option("compression", "zstd").bucketBy(partitions(spark), "key").format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
-_ANCHOR = "key string, place long, first long, last long, hash long"
-_CONTEXT = "key string, start long, cid string, hash long, left int, many boolean, context binary"
-_SPAN = "cid string, lo int, hi int"
+def _key(text):
+    return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
+
 
+_ANCHOR = "key binary, place int, first int, last int, hash long"
+_STRETCH = "key binary, start int, cid binary, hash long, suspect boolean, many boolean, body binary"
+_STRETCH_TYPES = [pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
 
-def recurring_spans(texts: DataFrame, units: Units, find: Callable, crowd: int = CROWD) -> DataFrame:
+
+def recurring_spans(texts: DataFrame, units: Units, spans_of: Callable[[DataFrame], DataFrame], crowd: int = CROWD) -> DataFrame:
     """(key, spans): for each distinct text with recurring windows, the places [lo, hi) in units that they cover, unordered.
 
-    find(contexts, lefts, many, anchors) -> [(context number, lo, hi)]: the recurring stretches of contexts, which come in
-    order of their anchors' hashes; lefts: units before the anchor; many: whether the context occurs more than once.
+    spans_of(stretches: cid, hash, many, body) -> (cid, lo, hi), the recurring places of stretches. Stretches of an anchor
+    share its hash, equal stretches come once, with many set.
     """
-    spark = texts.sparkSession
+    window = units.window
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
-                found = anchors_of(units.hashes(units.split(text.as_py())), units.window, units.anchor)
-                if len(found[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(found[0])), *(pa.array(x) for x in found)], names=["key", "place", "first", "last", "hash"])
+            keys = np.array(batch.column("key").to_pylist(), object)
+            for pieces, where in _pieces([units.split(t.as_py()) for t in batch.column("text")], window):
+                text, *found = anchors_of(pieces, units)
+                number, at = np.array(where).T
+                place, first, last = (x + at[text] for x in found[:3])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[number[text]], pa.binary()), *(pa.array(x.astype(np.int32)) for x in (place, first, last)), pa.array(found[3])], names=["key", "place", "first", "last", "hash"])
 
     # A text with copies recurs whole and needs no answer, but others may share windows with it.
-    rows = stored(texts.select("key", "text").mapInArrow(_merged(anchors), _ANCHOR))
+    rows = stored(texts.select("key", "text").mapInArrow(anchors, _ANCHOR))
     # Written, so that the join deals out its rows itself and can split an anchor that very many texts share.
-    again = stored(rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", (F.col("n") > crowd).alias("crowded")))
-    hits = rows.join(again, "hash").groupBy("key").agg(F.collect_list(F.struct("place", "first", "last", "hash", "crowded")).alias("hits"))
+    again = stored(rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", (F.col("n") > crowd).alias("suspect")))
+    hits = rows.join(again, "hash").groupBy("key").agg(F.collect_list(F.struct("first", "last", "hash", "suspect")).alias("hits"))
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for key, text, copies, got in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("copies").to_pylist(), batch.column("hits").to_pylist(), strict=True):
-                parts = units.split(text.as_py())
-                hits = [(hit["first"], hit["last"] + units.window, hit["place"] - hit["first"], hit["hash"]) for hit in got if not hit["crowded"]]
-                for hit in (hit for hit in got if hit["crowded"]):
-                    stretch = run_hashes(units.hashes(parts[hit["first"] : hit["last"] + units.window]), units.window).view(np.int64).tolist()
-                    hits += [(hit["first"] + i, hit["first"] + i + units.window, 0, h) for i, h in enumerate(stretch)]
-                for first, end, left, hash_ in hits:
-                    body = units.join(parts[first:end])
-                    cid = hashlib.blake2b(body + left.to_bytes(4, "little") + hash_.to_bytes(8, "little", signed=True), digest_size=16).hexdigest()
-                    out.append((key, first, cid, hash_, left, copies > 1, body))
+            for key, text, copies, hits in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("copies").to_pylist(), batch.column("hits").to_pylist(), strict=True):
+                parts, many = units.split(text.as_py()), copies > 1
+                for hit in hits:
+                    body = units.join(parts[hit["first"] : hit["last"] + window])
+                    cid = hashlib.blake2b(body, digest_size=16, salt=hit["hash"].to_bytes(8, "little", signed=True)).digest()
+                    out.append((key, hit["first"], cid, hit["hash"], hit["suspect"], many, body))
             if out:
-                types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["key", "start", "cid", "hash", "left", "many", "context"])
-
-    found = stored(texts.join(hits, "key").mapInArrow(_merged(contexts), _CONTEXT))
-    once = found.groupBy("cid").agg(F.first("hash").alias("hash"), F.first("left").alias("left"), F.first("context").alias("context"), ((F.count("*") > 1) | F.max("many")).alias("many"))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _STRETCH_TYPES, strict=True)], names=[x.split()[0] for x in _STRETCH.split(", ")])
+
+    found = stored(texts.join(hits, "key").mapInArrow(_merged(stretches), _STRETCH))
+    one = [F.first(c).alias(c) for c in ("hash", "suspect", "body")]
+    once = stored(found.groupBy("cid").agg(*one, ((F.count("*") > 1) | F.max("many")).alias("many")))
+    suspects = once.where("suspect")
+    crowded = stored(suspects.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("hash"))
+    columns = ["cid", "hash", "many", "body"]
+    quiet = once.where("not suspect").select(*columns).unionAll(suspects.join(crowded, "hash", "left_anti").select(*columns))
+    answers = spans_of(quiet).select("cid", "lo", "hi").unionAll(_by_digest(suspects.join(crowded, "hash", "left_semi"), units))
+    per = stored(answers.groupBy("cid").agg(F.collect_list(F.struct("lo", "hi")).alias("s")))  # written for the same reason: a stretch may have very many places
+    spans = found.select("key", "start", "cid").join(per, "cid").select("key", F.explode("s").alias("s"), "start")
+    return spans.groupBy("key").agg(F.collect_set(F.struct((F.col("start") + F.col("s.lo")).alias("lo"), (F.col("start") + F.col("s.hi")).alias("hi"))).alias("spans"))
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
 
-        def answer(rows: list[tuple]) -> pa.RecordBatch:
-            spans = find([r[3] for r in rows], [r[2] for r in rows], [r[4] for r in rows], [r[1] for r in rows])
-            return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i, _, _ in spans], pa.string()), pa.array([lo for _, lo, _ in spans], pa.int32()), pa.array([hi for _, _, hi in spans], pa.int32())], names=["cid", "lo", "hi"])
+def _by_digest(stretches: DataFrame, units: Units) -> DataFrame:
+    """(cid, lo, hi) of the windows of stretches whose 128-bit digest occurs again, or whose stretch does."""
+    window = units.window
 
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held += zip(*(batch.column(c).to_pylist() for c in ("cid", "hash", "left", "context", "many")), strict=True)
-            if len(held) >= TOGETHER:  # whole anchors only
-                end = next((i for i in range(len(held) - 1, 0, -1) if held[i][1] != held[i - 1][1]), 0)
-                if end:
-                    yield answer(held[:end])
-                    held = held[end:]
-        if held:
-            yield answer(held)
+            for cid, many, body in zip(batch.column("cid").to_pylist(), batch.column("many").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                parts = units.split(body)
+                digests = [hashlib.blake2b(units.join(parts[k : k + window]), digest_size=16).digest() for k in range(len(parts) - window + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([cid] * len(digests), pa.binary()), pa.array(range(len(digests)), pa.int32()), pa.array(digests, pa.binary()), pa.array([many] * len(digests), pa.bool_())], names=["cid", "lo", "digest", "many"])
 
-    n = partitions(spark)
-    answers = once.select("cid", "hash", "left", "context", "many").repartition(n, "hash").sortWithinPartitions("hash").mapInArrow(index, _SPAN)
-    per = stored(answers.groupBy("cid").agg(F.collect_list(F.struct("lo", "hi")).alias("s")))  # written for the same reason: a context may have very many places
-    spans = found.select("key", "start", "cid").join(per, "cid").select("key", F.explode("s").alias("s"), "start")
-    return spans.groupBy("key").agg(F.collect_set(F.struct((F.col("start") + F.col("s.lo")).alias("lo"), (F.col("start") + F.col("s.hi")).alias("hi"))).alias("spans"))
+    rows = stored(stretches.select("cid", "many", "body").mapInArrow(_merged(windows), "cid binary, lo int, digest binary, many boolean"))
+    again = stored(rows.groupBy("digest").agg(F.count("*").alias("n"), F.max("many").alias("many")).where("n > 1 or many").select("digest"))
+    return rows.join(again, "digest").select("cid", "lo", (F.col("lo") + window).alias("hi"))
+
+
+def runs_of(marked: np.ndarray) -> list[tuple[int, int]]:
+    """[a, b) of the runs of True."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], marked.astype(np.int8), [0])))).tolist()
+    return list(zip(edges[::2], edges[1::2], strict=True))
 
 
 def _merged(f: Callable) -> Callable:
@@ -190,7 +221,7 @@ def covered(n: int, spans: list[dict] | None, whole: bool) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def without_recurring(docs: DataFrame, units: Units, find: Callable, digest: Callable, schema: str, empty: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_recurring(docs: DataFrame, units: Units, spans_of: Callable[[DataFrame], DataFrame], digest: Callable, schema: str, empty: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id and the columns of schema. digest(parts, mask of recurring units) -> a tuple of them; empty: the tuple for null and empty texts."""
     texts = distinct_texts(docs, text_col)
     names = [x.split()[0] for x in schema.split(", ")]
@@ -203,10 +234,10 @@ def without_recurring(docs: DataFrame, units: Units, find: Callable, digest: Cal
                 out.append((key, *digest(parts, covered(len(parts), spans, copies > 1 and len(parts) >= units.window))))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["key", *names])
 
-    per = texts.join(recurring_spans(texts, units, find), "key", "left").mapInArrow(results, f"key string, {schema}")
+    per = texts.join(recurring_spans(texts, units, spans_of), "key", "left").mapInArrow(results, f"key binary, {schema}")
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.when(F.length(text) > 0, F.sha2(text.cast("binary"), 256)).alias("key"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.when(F.length(text) > 0, _key(text)).alias("key"))
     return rows.join(per, "key", "left").select("doc_id", *(F.coalesce(c, F.lit(e)).alias(c) for c, e in zip(names, empty, strict=True)))
 
 
-__all__ = ["Units", "anchors_of", "run_hashes", "without_recurring"]
+__all__ = ["Units", "anchors_of", "chained", "mixed", "recurring_spans", "runs_of", "without_recurring"]

@@ -1,9 +1,10 @@
 """Removal of recurring byte strings by a logarithmic family of suffix arrays.
 
-A part of the index takes up the contexts of its anchors in batches. Each batch gets a suffix array over its anchors (the
-text from the anchor on, in byte order, below the anchor's hash); arrays of about equal size are merged, and each merge
-scans the common prefixes of neighbours. A window that reaches o bytes left of its anchor recurs if another suffix in
-the run of neighbours with common prefixes of at least W - o bytes has the same o bytes on its left.
+The stretches in which a 200-byte string may recur are taken up in batches. A batch gets a suffix array over all its
+suffixes that hold such a string; it is then merge-scanned against every level that stands (neighbours whose common
+prefix is 200 bytes or more are a match), and as long as a level of its own size stands, the two arrays are merged in one linear
+pass into a level of twice the size. Levels are tables in the shared folder, one row for each part of the index, so a
+family of n batches has at most log2(n) + 1 of them, and every suffix is merged that often.
 """
 
 from __future__ import annotations
@@ -11,101 +12,153 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from meshlark.llm._passages import Units, mixed, without_recurring
+from meshlark.llm._common import partitions, stored
+from meshlark.llm._passages import Units, chained, runs_of, without_recurring
 
 WINDOW, ANCHOR = 200, 100
-BATCH = 1000
-
-
-def _hashes(text: bytes) -> np.ndarray:
-    return mixed(np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-
-
-class _Level:
-    """A suffix array: rows in order of (anchor, bytes from the anchor on)."""
-
-    def __init__(self, own: np.ndarray, anchor: np.ndarray, right: np.ndarray, n_right: np.ndarray, left: np.ndarray, n_left: np.ndarray) -> None:
-        order = np.lexsort((right, anchor))
-        self.own, self.anchor, self.right, self.n_right, self.left, self.n_left = (x[order] for x in (own, anchor, right, n_right, left, n_left))
-
-    def merged(self, other: _Level) -> _Level:
-        return _Level(*(np.concatenate((getattr(self, c), getattr(other, c))) for c in ("own", "anchor", "right", "n_right", "left", "n_left")))
-
-    def common(self) -> np.ndarray:
-        """Length of the common prefix of each suffix with the one before; -1 below another anchor."""
-        width = self.right.dtype.itemsize
-        body = self.right.view(np.uint8).reshape(len(self.own), width)
-        differ = body[1:] != body[:-1]
-        upto = np.where(differ.any(1), differ.argmax(1), width)
-        upto = np.minimum(upto, np.minimum(self.n_right[1:], self.n_right[:-1]))
-        return np.concatenate(([-1], np.where(self.anchor[1:] == self.anchor[:-1], upto, -1)))
-
-
-def _scan(level: _Level, window: int, marks: np.ndarray) -> None:
-    """Marks (context, o) of all windows that two suffixes of the level share."""
-    common = level.common()
-    close = common >= window - marks.shape[1] + 1
-    rows = np.flatnonzero(close | np.append(close[1:], False))
-    if not len(rows):
-        return
-    common, own, left, n_left, n_right = common[rows], level.own[rows], level.left[rows], level.n_left[rows], level.n_right[rows]
-    for o in range(marks.shape[1]):
-        run = np.cumsum(common < window - o)
-        at = np.flatnonzero((n_left >= o) & (n_right >= window - o) & ~marks[own, o])
-        if len(at) == 0:
-            continue
-        whole = np.flatnonzero((n_left >= o) & (n_right >= window - o))
-        key = mixed(left[whole, o] + run[whole].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        _, where, counts = np.unique(key, return_inverse=True, return_counts=True)
-        again = whole[counts[where] > 1]
-        marks[own[again], o] = True
-
-
-def _finder(window: int, k: int):
-    reach = window - k + 1  # a window may begin at the anchor or up to window - k bytes before it
-
-    def find(contexts: list[bytes], lefts: list[int], many: list[bool], anchors: list[int]) -> list[tuple[int, int, int]]:
-        n = len(contexts)
-        marks = np.zeros((n, reach), bool)
-        levels: list[_Level] = []
-
-        def batch(lo: int, hi: int) -> _Level:
-            n_left = np.array(lefts[lo:hi])
-            right = [c[x:] for c, x in zip(contexts[lo:hi], lefts[lo:hi], strict=True)]
-            n_right = np.array([len(r) for r in right])
-            body = np.frombuffer(b"".join(r.ljust(window, b"\0")[:window] for r in right), f"S{window}")
-            left = np.zeros((hi - lo, reach), np.uint64)  # left[:, o]: hash of the o bytes before the anchor
-            back = np.frombuffer(b"".join(c[:x][::-1].ljust(reach, b"\0")[:reach] for c, x in zip(contexts[lo:hi], lefts[lo:hi], strict=True)), np.uint8).reshape(hi - lo, reach).astype(np.uint64)
-            for o in range(1, reach):
-                left[:, o] = mixed(left[:, o - 1] * np.uint64(0xD6E8FEB86659FD93) + back[:, o - 1] + np.uint64(1))
-            return _Level(np.arange(lo, hi), np.array(anchors[lo:hi]), body, np.minimum(n_right, window), left, n_left)
-
-        for lo in range(0, n, BATCH):
-            new = batch(lo, min(lo + BATCH, n))
-            _scan(new, window, marks)
-            while levels and len(levels[-1].own) <= len(new.own):
-                new = levels.pop().merged(new)
-                _scan(new, window, marks)
-            levels.append(new)
-        while len(levels) > 1:
-            levels.append(levels.pop().merged(levels.pop()))
-            _scan(levels[-1], window, marks)
-        out = []
-        for i in range(n):
-            first, last = 0, len(contexts[i]) - window
-            own = np.zeros(last + 1, bool)
-            if many[i]:
-                own[:] = True
-            else:
-                o = np.flatnonzero(marks[i])
-                own[lefts[i] - o[lefts[i] >= o]] = True
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0])))).tolist()
-            out += [(i, first + a, first + b + window - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
-        return out
-
-    return find
+#: Batches in which a corpus that is given at once is taken up.
+BATCHES = 4
+#: Stretches of a part of the index, about.
+PART = 4000
+_GRAM = np.uint64(0x9E3779B97F4A7C15)
+_SCHEMA = "shard int, cid binary, lo int, hi int, ids binary, body binary, size binary, suffixes binary"
+_ARROW = pa.schema([("shard", pa.int32()), ("cid", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32()), *((c, pa.binary()) for c in ("ids", "body", "size", "suffixes"))])
+
+
+def _order(anchor: int):
+    def order(texts: list[bytes]):
+        body = b"".join(texts)
+        n = len(body)
+        gram = np.ndarray(n, "<u8", body + bytes(8), strides=(1,))
+
+        def run(at: np.ndarray) -> np.ndarray:
+            return chained([gram[at + k] for k in [*range(0, anchor - 8, 8), anchor - 8]])
+
+        key = gram * _GRAM
+        key ^= key >> np.uint64(32)
+        return key * np.uint64(0xD6E8FEB86659FD93), run
+
+    return order
+
+
+class Level:
+    """A suffix array of stretches: ids (16 bytes each), their joined bytes, their sizes, and the places of all suffixes of `window` bytes or more, in order.
+
+    Suffixes are ordered by their first `window` bytes, which is all that a scan for matches of that length compares.
+    """
+
+    def __init__(self, ids: bytes, body: bytes, size: np.ndarray, suffixes: np.ndarray | None, window: int) -> None:
+        self.ids, self.body, self.size, self.window = ids, body, size, window
+        off = np.concatenate(([0], np.cumsum(size)))
+        self.off = off
+        if suffixes is None:
+            steps = np.zeros(off[-1] + 1, np.int32)
+            np.add.at(steps, off[:-1], 1)
+            np.add.at(steps, off[1:] - window + 1, -1)
+            starts = np.flatnonzero(np.cumsum(steps[:-1])).astype(np.int32)
+            suffixes = starts[np.argsort(self.heads(starts), kind="stable")]
+        self.suffixes = suffixes
+
+    def heads(self, at: np.ndarray) -> np.ndarray:
+        """The first `window` bytes of the suffixes at these places; all have so many, so zero bytes at the end are told apart."""
+        return np.ndarray(max(len(self.body) - self.window + 1, 0), f"S{self.window}", self.body, strides=(1,))[at]
+
+    def spans(self, matched: np.ndarray, shard: int) -> list[dict]:
+        """Rows (cid, lo, hi) of the bytes under the matched suffixes."""
+        mark = np.zeros(len(self.body) + 1, bool)
+        mark[self.suffixes[matched]] = True
+        runs = np.array(runs_of(mark), np.int64).reshape(-1, 2)  # none reaches from one stretch into the next
+        owner = np.searchsorted(self.off, runs[:, 0], "right") - 1
+        lo, hi = runs[:, 0] - self.off[owner], runs[:, 1] - 1 - self.off[owner] + self.window
+        return [{"shard": shard, "cid": self.ids[16 * k : 16 * k + 16], "lo": a, "hi": b} for k, a, b in zip(owner.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+
+    def row(self, shard: int) -> dict:
+        return {"shard": shard, "ids": self.ids, "body": self.body, "size": self.size.astype(np.int32).tobytes(), "suffixes": self.suffixes.astype(np.int32).tobytes()}
+
+
+def _neighbours_agree(heads: np.ndarray) -> np.ndarray:
+    """Which heads of an ordered array equal the one before or after."""
+    same = heads[1:] == heads[:-1]
+    return np.append(same, False) | np.append(False, same) if len(heads) else np.empty(0, bool)
+
+
+def first_level(rows: pa.Table, window: int) -> pa.Table:
+    """The suffix array of a batch of stretches (shard, cid, many, body), and its own matches."""
+    body = [x.as_py() for x in rows["body"]]
+    level = Level(b"".join(x.as_py() for x in rows["cid"]), b"".join(body), np.fromiter(map(len, body), np.int64, len(body)), None, window)
+    many = np.asarray(rows["many"].combine_chunks().to_numpy(zero_copy_only=False), bool)
+    owner = np.searchsorted(level.off, level.suffixes, "right") - 1
+    shard = rows["shard"][0].as_py()
+    matched = _neighbours_agree(level.heads(level.suffixes)) | many[owner]
+    return pa.Table.from_pylist([*level.spans(matched, shard), level.row(shard)], schema=_ARROW)
+
+
+def merge_scan(new: pa.Table, old: pa.Table, window: int, merged: bool) -> pa.Table:
+    """Matches between a part's rows of two levels, found where their merged order has neighbours of both; with merged, also the level of both."""
+    if not new.num_rows or not old.num_rows:
+        only = (new if new.num_rows else old).select(_ARROW.names)
+        return only.cast(_ARROW) if merged else _ARROW.empty_table()
+    a, b = (Level(t["ids"][0].as_py(), t["body"][0].as_py(), np.frombuffer(t["size"][0].as_py(), np.int32).astype(np.int64), np.frombuffer(t["suffixes"][0].as_py(), np.int32), window) for t in (new, old))
+    shard = new["shard"][0].as_py()
+    x, y = a.heads(a.suffixes), b.heads(b.suffixes)
+    before = np.searchsorted(y, x)  # both are in order, so this is one walk along them
+    meets = y[np.minimum(before, len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
+    met = np.zeros(len(y) + 1, np.int32)  # runs of equal heads in y that some x meets
+    hit = np.unique(before[meets])
+    if len(hit):
+        run_end = np.append(np.flatnonzero(y[1:] != y[:-1]) + 1, len(y))
+        met[hit] = 1
+        met[run_end[np.searchsorted(run_end, hit, "right")]] -= 1
+    rows = [*a.spans(meets, shard), *b.spans(np.cumsum(met[:-1]) > 0, shard)]
+    if merged:
+        place = before + np.arange(len(x))
+        order = np.empty(len(x) + len(y), np.int32)
+        rest = np.ones(len(order), bool)
+        rest[place] = False
+        order[place], order[rest] = a.suffixes, b.suffixes + np.int32(len(a.body))
+        rows.append(Level(a.ids + b.ids, a.body + b.body, np.concatenate((a.size, b.size)), order, window).row(shard))
+    return pa.Table.from_pylist(rows, schema=_ARROW)
+
+
+class Family:
+    """Levels of suffix arrays, as tables; add() takes up a batch and gives its matches with all that came before, and within it."""
+
+    def __init__(self, window: int) -> None:
+        self.window, self.levels = window, []  # (batches, table), largest first
+
+    def add(self, batch: DataFrame) -> list[DataFrame]:
+        """batch: shard, cid, many, body. Returns tables of (cid, lo, hi)."""
+        window = self.window
+        got = stored(batch.groupBy("shard").applyInArrow(lambda t: first_level(t, window), _SCHEMA))
+        matches, size = [got], 1
+        equal = lambda at: at >= 0 and self.levels[at][0] == size
+        new = got.where(F.col("cid").isNull())
+        at = len(self.levels) - 1
+        while equal(at):
+            old = self.levels.pop()[1]
+            got = stored(new.groupBy("shard").cogroup(old.groupBy("shard")).applyInArrow(lambda x, y: merge_scan(x, y, window, True), _SCHEMA))
+            matches.append(got)
+            new, size, at = got.where(F.col("cid").isNull()), 2 * size, at - 1
+        for _, old in self.levels:  # larger levels stay as they are
+            matches.append(stored(new.groupBy("shard").cogroup(old.groupBy("shard")).applyInArrow(lambda x, y: merge_scan(x, y, window, False), _SCHEMA)))
+        self.levels.append((size, new))
+        return [m.where(F.col("cid").isNotNull()).select("cid", "lo", "hi") for m in matches]
+
+
+def matches(stretches: DataFrame, window: int, batches: int = BATCHES) -> DataFrame:
+    """(cid, lo, hi) of the strings of `window` bytes that recur in stretches (cid, hash, many, body; stored). Equal strings have equal hashes."""
+    parts = max(partitions(stretches.sparkSession), -(-stretches.count() // PART))
+    rows = stretches.select(F.pmod("hash", F.lit(parts)).cast("int").alias("shard"), F.pmod(F.xxhash64("cid"), F.lit(batches)).alias("batch"), "cid", "many", "body")
+    family, out = Family(window), []
+    for k in range(batches):
+        out += family.add(rows.where(F.col("batch") == k).drop("batch"))
+    for other in out[1:]:
+        out[0] = out[0].unionAll(other)
+    return out[0]
 
 
 def _digest(text: bytes, gone: np.ndarray) -> tuple:
@@ -118,7 +171,11 @@ def recurring_bytes(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the bytes outside strings of `window` bytes that occur anywhere else.
 
     Null and empty texts have no bytes. Rows that repeat are documents of their own. Overlapping occurrences within one
-    document count.
+    document count. Other columns of docs play no part. Anchors with more than _passages.CROWD stretches are settled by
+    digests of windows; the rows are the same either way.
     """
-    units = Units(window, anchor, bytes, bytes, _hashes)
-    return without_recurring(docs, units, _finder(window, anchor), _digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", (0, 0, 0, hashlib.sha256(b"").hexdigest()), **columns)
+    units = Units(window, anchor, bytes, bytes, _order(anchor))
+    return without_recurring(docs, units, lambda s: matches(s, window), _digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", (0, 0, 0, hashlib.sha256(b"").hexdigest()), **columns)
+
+
+__all__ = ["Family", "Level", "matches", "recurring_bytes"]

@@ -24,6 +24,8 @@ def hard_cases():
     texts = [None, None, "", " ", "\n\t", "one", "One", "two words", "three plain words", "line\nline\nline\n\nother", text(30), text(300)]
     texts += [text(5) + " " + s + " " + text(5) for s in shared for _ in range(3)] + [s + "\n" + s for s in shared] + [texts[-1]] * 4
     texts += [texts[11].replace("w1 ", "w2 ", 1), texts[11] + " tail", texts[11].upper(), "ab" * 300, "ab" * 301, "\x00" * 250, "\x00" * 260 + "x", "word " * 120, text(9000)]
+    body = text(40).ljust(190, "z")[:190]
+    texts += [x + "\x00" * n for n in (0, 10, 12) for x in (body, "before " + body, "x" * 80 + body)] + ["y" * 5 + body + "\x00" * 10 + "end", body + "\x00" * 9 + "\x01"]
     rows = [(k if k != 3 else None, t, [None, "en", "de"][k % 3], [None, "web", "Book", "code", "wiki"][min(k % 7, 4)], None, "x") for k, t in enumerate(texts)]
     return rows + [rows[11], rows[11], (None, None, None, None, None, None)]
 
@@ -58,19 +60,56 @@ def test_recurring_bytes(which, request):
     assert rows(suffixes.recurring_bytes(df)) == brute.recurring_bytes(pairs(df))
 
 
-def test_crowded_anchors(docs, spark):
+@pytest.mark.parametrize("crowd", [1000, 1])
+def test_crowded_anchors(docs, crowd):
     """Anchors above the crowd limit take the other way and give the same rows."""
     from meshlark.llm._passages import Units, distinct_texts, recurring_spans
 
-    units = Units(phrases.WINDOW, phrases.ANCHOR, bytes.split, b" ".join, phrases._hashes)
     texts = distinct_texts(docs)
-
-    def places(crowd):
-        found = recurring_spans(texts, units, phrases._finder(phrases.WINDOW), crowd).collect()
-        return {r["key"]: {i for s in r["spans"] for i in range(s["lo"], s["hi"])} for r in found}
-
-    usual, crowded = places(20_000), places(1)
-    assert usual and {k: v for k, v in crowded.items() if v} == {k: v for k, v in usual.items() if v}
+    for units, spans_of in (
+        (Units(phrases.WINDOW, phrases.ANCHOR, bytes.split, b" ".join, phrases._order(phrases.ANCHOR)), lambda s: phrases.occurrences(s, phrases.WINDOW)),
+        (Units(suffixes.WINDOW, suffixes.ANCHOR, bytes, bytes, suffixes._order(suffixes.ANCHOR)), lambda s: suffixes.matches(s, suffixes.WINDOW)),
+    ):
+        found = {bytes(r["key"]): {i for s in r["spans"] for i in range(s["lo"], s["hi"])} for r in recurring_spans(texts, units, spans_of, crowd).collect()}
+        parts = {bytes(r["key"]): (units.split(bytes(r["text"])), r["copies"]) for r in texts.collect()}
+        masks = brute.recurring([p for p, n in parts.values() for _ in range(n)], units.window)
+        keys = [k for k, (_, n) in parts.items() for _ in range(n)]
+        for key, mask in zip(keys, masks, strict=True):
+            if parts[key][1] == 1:
+                assert found.get(key, set()) == {i for i, m in enumerate(mask) if m}
+
+
+def test_automaton_takes_only_what_it_finds_twice():
+    a, b = [f"a{k}".encode() for k in range(60)], [f"b{k}".encode() for k in range(60)]
+    got = phrases.located([a, b, a[10:50] + b[:10], b[55:]], [False] * 4, 35)
+    assert sorted(got) == [(0, 10, 50), (2, 0, 40)]
+    assert phrases.located([a], [True], 35) == [(0, 0, 60)] and phrases.located([a, b], [False, False], 35) == []
+
+
+def test_levels_merge_geometrically(spark):
+    """Seven batches leave levels of four, two and one; each is in order and holds every suffix once; matches are those of a plain search."""
+    dice, window = random.Random(8), 12
+    body = [bytes(dice.choices(b"ab\x00", k=dice.randrange(12, 40))) for _ in range(140)]
+    rows = [(k % 3, k % 7, k.to_bytes(16, "big"), False, b) for k, b in enumerate(body)]
+    df = spark.createDataFrame(rows, "shard int, batch int, cid binary, many boolean, body binary").cache()
+    family, found = suffixes.Family(window), defaultdict(set)
+    for k in range(7):
+        for part in family.add(df.where(F.col("batch") == k).drop("batch")):
+            for r in part.collect():
+                found[bytes(r["cid"])] |= set(range(r["lo"], r["hi"]))
+    assert [n for n, _ in family.levels] == [4, 2, 1]
+    total = 0
+    for _, table in family.levels:
+        for r in table.collect():
+            text, order = bytes(r["body"]), np.frombuffer(r["suffixes"], np.int32)
+            heads = [text[a : a + window] for a in order]
+            assert heads == sorted(heads) and len(set(order)) == len(order)
+            total += len(order)
+    assert total == sum(len(b) - window + 1 for b in body)
+    for shard in range(3):
+        own = [k for k in range(len(body)) if k % 3 == shard]
+        for k, mask in zip(own, brute.recurring([body[k] for k in own], window), strict=True):
+            assert found[k.to_bytes(16, "big")] == {i for i, m in enumerate(mask) if m}
 
 
 @pytest.mark.parametrize("which", ["docs", "table"])
