@@ -236,6 +236,35 @@ def test_top_k_hard(spark):
     assert topk.top_k(ints.where("id < 0"), F.col("id") % 10 == 0).isEmpty()
 
 
+def test_top_k_skips_blocks(spark):
+    """Clusters far from each other: most block pairs are ruled out by the pivot table, and the rows are those of a plain search."""
+    dice = np.random.default_rng(4)
+    centers = dice.integers(-2000, 2000, (8, 6))
+    vectors = [(k, (centers[k % 8] + dice.integers(-40, 40, 6)).tolist()) for k in range(1600)]
+    df = spark.createDataFrame(vectors, "id long, v array<long>").cache()
+    got = topk.top_k(df, F.col("id") % 20 == 0)
+    assert sorted(map(tuple, got.collect())) == brute.top_k(vectors, {i for i, _ in vectors if i % 20 == 0})
+    pivots = topk.choose_pivots(df)
+    table = topk.pivot_table(df, pivots).cache()
+    candidates = topk._dealt(table, 100, "cb")
+    best = {r["query_id"]: float(r["score"]) for r in got.where("rank = 10").collect()}
+    floors = spark.createDataFrame(list(best.items()), "id long, floor double")
+    queries = topk._dealt(table.where("id % 20 = 0"), 100, "qb").join(floors, "id")
+    pairs = topk.open_pairs(queries, candidates, len(pivots)).count()
+    blocks = queries.select("qb").distinct().count() * candidates.select("cb").distinct().count()
+    assert 0 < pairs < 0.6 * blocks
+
+
+def test_top_k_small_blocks(spark, monkeypatch):
+    """Blocks, chunks and tiles of a few rows give the same rows."""
+    for name, value in {"QUERY_BLOCK": 3, "CANDIDATE_BLOCK": 20, "TILE": 7, "STEP": 4}.items():
+        monkeypatch.setattr(topk, name, value)
+    dice = np.random.default_rng(6)
+    vectors = [(k, v) for k, v in enumerate(dice.integers(-5, 5, (200, 3)).tolist())]
+    got = topk.top_k(spark.createDataFrame(vectors, "id long, v array<long>"), F.col("id") % 10 == 0)
+    assert sorted(map(tuple, got.collect())) == brute.top_k(vectors, {i for i, _ in vectors if i % 10 == 0})
+
+
 def test_empty_tables(spark, docs):
     none = docs.where("doc_id < 0")
     for out in (phrases.recurring_words(none), suffixes.recurring_bytes(none), simhash.near_duplicates(none), quality.judge(none), mixing.mix_sources(none), packing.pack_documents(none, queries.tokenizer_path())):
