@@ -47,11 +47,15 @@ def op6_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per transcript of the conversations: the turns, roles and canonical text recovered, and how the roles compare with the given ones."""
+    """Per transcript of the conversations: the turns, roles and canonical text recovered, and how the roles compare with the given ones.
+
+    The model is counted from conversations of one half by hash; held_out tells the other half.
+    """
     texts = chat.transcripts(table(spark, sf_dir, "conversations"))
-    out = chat.format_chats(texts, chat.train(texts), ("conv_id", "part", "roles"))
+    held_out = F.pmod(F.xxhash64(F.lit("half"), "conv_id"), F.lit(2)) == 1
+    out = chat.format_chats(texts, chat.train(texts.where(~held_out)), ("conv_id", "part", "roles"))
     given = F.array_join("roles", " ", "unknown")
-    return out.select("conv_id", "part", "n_turns", "recovered", given.alias("given"), (F.col("recovered") == given).alias("agrees"), "rendered")
+    return out.select("conv_id", "part", held_out.alias("held_out"), "n_turns", "recovered", given.alias("given"), (F.col("recovered") == given).alias("agrees"), "rendered")
 
 
 def op8_recurring_words(spark: SparkSession, sf_dir: str) -> DataFrame:

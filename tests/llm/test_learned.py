@@ -18,17 +18,45 @@ def test_html_hard_cases(spark):
     assert got == {1: ("", 0), 2: ("", 0), 3: ("", 0), 4: ("", 0), None: ("x", 1)}
 
 
-def test_chat_roles(spark, sf_dir):
-    out = queries.op7_format_chats(spark, sf_dir)
-    n, good = out.count(), out.where("agrees").count()
-    assert n == 0 or good >= 0.9 * n
-
-
-def test_chat_round_trip(spark):
-    turns = [(1, k, "user" if k % 2 == 0 else "assistant", f"What is number {k}?" if k % 2 == 0 else f"It is {k}.") for k in range(20)] + [(None, None, None, None), (2, 0, "system", "")]
-    texts = chat.transcripts(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string"))
-    assert texts.count() == 3 and chat.format_chats(texts, chat.train(texts)).count() == 3
-    assert chat.parse("", chat.train(texts)) is not None
+def test_chat_roles_held_out(spark):
+    """Of the conversations that the model was not counted from, nine in ten have all their roles recovered."""
+    out = queries.op7_format_chats(spark, "/root/testdata/sf0.1").where("held_out").select("agrees").collect()
+    assert len(out) > 400 and sum(r["agrees"] for r in out) >= 0.9 * len(out)
+
+
+TURNS = "conv_id long, turn int, role string, text string, part string, first int"
+
+
+def conversations():
+    turns = [(1, k, "user" if k % 2 == 0 else "assistant", f"What is number {k}?\nTell me" if k % 2 == 0 else f"It is {k}.", "x", 7) for k in range(40)]
+    turns += [(k, t, ("system", "user", "assistant")[t], f"Words of {k} and {t}\nand more", "x", 7) for k in range(2, 12) for t in range(3)]
+    return turns + [(None, None, None, None, None, None)] * 3 + [(12, None, "user", "twice", None, None)] * 5 + [(13, 0, "system", "", None, None), (14, 0, "user", "a" * 5000, None, None)]
+
+
+def test_chat_hard_cases(spark):
+    turns = spark.createDataFrame(conversations(), TURNS)
+    texts = chat.transcripts(turns)
+    assert sorted((r["conv_id"] or 0) for r in texts.collect()) == list(range(15))
+    out = {r["conv_id"]: r for r in chat.format_chats(texts, chat.train(texts)).collect()}
+    assert len(out) == 15 and all(out[k]["recovered"] == "system user assistant" for k in range(2, 12)) and out[12]["n_turns"] == 5
+    none = turns.where("conv_id < 0")
+    assert chat.format_chats(chat.transcripts(none), chat.train(chat.transcripts(none))).isEmpty()
+
+
+def test_chat_segments_decode_as_one_piece(spark, monkeypatch):
+    """Conversations in parts of a few turns give the roles and the text that they give whole."""
+    turns = spark.createDataFrame(conversations(), TURNS)
+    whole = chat.transcripts(turns)
+    model = chat.train(whole)
+    want = {r["conv_id"]: (r["recovered"], r["rendered"]) for r in chat.format_chats(whole, model).collect()}
+    monkeypatch.setattr(chat, "SEGMENT_TURNS", 3)
+    parts = chat.transcripts(turns)
+    got = {}
+    for r in sorted(chat.format_chats(parts, model).collect(), key=lambda r: r["part"]):
+        roles, text = got.get(r["conv_id"], ("", ""))
+        got[r["conv_id"]] = (f"{roles} {r['recovered']}".strip(), text + r["rendered"])
+    assert parts.count() > 20
+    assert {k: (v[0], [x for x in v[1].split("\n") if x]) for k, v in got.items()} == {k: (v[0], [x for x in v[1].split("\n") if x]) for k, v in want.items()}
 
 
 def test_secrets_held_out(spark):
