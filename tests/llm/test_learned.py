@@ -1,5 +1,8 @@
 """Operators with fitted models: held-out accuracy, round trips and hard cases."""
 
+import itertools
+import random
+
 from meshlark.llm import chat, html, near_copies, queries, secrets
 
 
@@ -12,10 +15,76 @@ def test_html_article_alone():
     assert html.main_text(page) == "Big & small The first paragraph has several words in it. café €5"
 
 
+def made_page(dice):
+    """A page of one of several builds, and the text of its article."""
+    words = lambda a, b: " ".join(dice.choice(["river", "stone", "caf&eacute;", "and", "the", "long", "7", "R&amp;D", "of", "winter"]) for _ in range(dice.randint(a, b)))
+    links = "".join(f'<li><a href="/{k}">{words(1, 2)}</a>' for k in range(dice.randint(3, 9)))
+    body, text = [], []
+    for k in range(dice.randint(2, 7)):
+        kind = dice.choice(["p", "p", "p", "h2", "li", "advert", "hidden", "script", "br", "form"])
+        part = words(3 if kind == "h2" else 1, 30)
+        plain = html.html.unescape(part)
+        if kind == "p":
+            body.append(f"<p>{part}" + dice.choice(["</p>", ""]))
+        elif kind == "h2":
+            body.append(f"<h2 class='story-title'>{part}</h2>")
+        elif kind == "li":
+            body.append(f"<ul><li>{part}<li>{part}</ul>")
+        elif kind == "br":
+            body.append(f"<div>{part}<br>\n {part}</div>")
+        else:
+            body.append({"advert": f'<p class="advert">{part}</p>', "hidden": f"<div style='display: none'><p>{part}</div>", "script": f"<script>if (a < b) {{ '{part}' }}</script>", "form": f"<form>{part}<input type=text></form>"}[kind])
+            continue
+        text += [plain] * (2 if kind in ("li", "br") else 1)
+    last = words(1, 9)
+    body.append(f"<p>{last}")
+    text.append(html.html.unescape(last))
+    inside = "".join(body)
+    main = dice.choice([f"<article>{inside}</article>", f"<main><h1>{last}</h1>{inside}</main>", f'<main><article class="post">{inside}</article><section id="comments"><p>{words(20, 40)}</section></main>'])
+    if "<h1>" in main:
+        text.insert(0, html.html.unescape(last))
+    before = f"<header><p>{words(2, 12)}</header><nav><ul>{links}</ul></nav><div class='cookie-notice'>{words(5, 30)}</div>"
+    after = f"<aside class=sidebar>{words(5, 40)}</aside><div class='related-links'><ul>{links}</ul></div><footer>{words(2, 20)}<p>Copyright</footer>"
+    head = f"<!doctype html><html><head><title>{words(2, 5)}</title>" + dice.choice(["</head><body>", "<body>", "<style>p {}</style></head><body class='sidebar-left'>"])
+    return head + before + main + after, " ".join(text)
+
+
+def test_html_made_pages():
+    """The article's text and nothing else, for pages of several builds; short blocks, last blocks and open elements among them."""
+    dice = random.Random(9)
+    for _ in range(400):
+        page, want = made_page(dice)
+        assert html.main_text(page) == want, page
+
+
+def test_html_short_and_open():
+    cases = {
+        "<article><p>a b c d e</p></article>": "a b c d e",
+        "<h1>Five words are right here</h1>": "Five words are right here",
+        '<article><p>one two</p><p class="advert">Buy now</p><h2 class="share-title">Share</h2><a class="share">x</a><p class="byline-comments">3</p><p>end</article>': "one two end",
+        "<head><title>x</title><p>A paragraph of enough words to be one, without a body tag before it.": "A paragraph of enough words to be one, without a body tag before it.",
+        "<article>a b <svg><path d=1> c d</article><article><p>e f": "a b e f",
+        "<article>a <select><option>b<option>c</article><article><p>e f": "a e f",
+        "<article><p>seen</p><div hidden>no</div><p aria-hidden='true'>nor</p><p>end</article>": "seen end",
+        '<article class="comment"><p>A reader says this and that about the text above it.</article>': "",
+    }
+    for page, want in cases.items():
+        assert html.main_text(page) == want, page
+
+
+def test_html_tree_in_and_out_of_the_article():
+    """Whatever its neighbours: what an article holds stays, what says it is something else goes."""
+    for x in itertools.product((1, 5, 12, 200), (0, 0.3, 1), (0, 5, 90), (0, 0.5, 1), (0, 5, 90), (0, 0.5, 1)):
+        for heading in (0, 1):
+            assert html._classify(html.tree(), (*x, 0, 1, heading)) == 1
+            assert html._classify(html.tree(), (*x, 1, 0, heading)) == 0 == html._classify(html.tree(), (*x, 1, 1, heading))
+
+
 def test_html_hard_cases(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "<p"), (4, "u", "<script>only"), (None, "u", "<article>x</article>")]
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {1: ("", 0), 2: ("", 0), 3: ("", 0), 4: ("", 0), None: ("x", 1)}
+    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).isEmpty()
 
 
 def test_chat_roles_held_out(spark):
