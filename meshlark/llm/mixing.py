@@ -10,14 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meshlark.llm._common import stored, words
+from meshlark.llm._common import partitions, stored, words
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
 #: No source is taken more often than this.
 MOST_EPOCHS = 3
-#: Key ranges into which a source's documents are dealt for the prefix sum.
-RANGES = 4096
 
 
 def quality(text: Column) -> Column:
@@ -56,11 +54,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 
 def sized(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", extra: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: doc_id, src, src_null, size and key."""
+    """Per document: doc_id, src, src_null, size, key and row, a number that tells rows apart once this is stored."""
     text = F.col(text_col)
     return docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col), F.lit("")).alias("src"), F.col(source_col).isNull().alias("src_null"),
-        F.size(words(text)).cast("long").alias("size"), (-F.log(uniform(F.lit(seed), F.col(id_col), text)) / quality(text)).alias("key"), *extra,
+        F.size(words(text)).cast("long").alias("size"), (-F.log(uniform(F.lit(seed), F.col(id_col), text)) / quality(text)).alias("key"), F.monotonically_increasing_id().alias("row"), *extra,
     )
 
 
@@ -70,20 +68,23 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EP
     A document of the fractional part is taken if the middle of its words lies within the target, so a source misses
     its target by half a document at most. A source with no words has target 0. A null source is a source of its own,
     last in order. Equal keys are ordered by doc_id, then size; rows that agree in all of these are alike. Documents
-    are summed by (source, key range), so that no source, whatever its share, is ordered in one task.
+    are dealt by range of (source, key, doc_id, size, row) and summed by (source, range), so no source, whatever its
+    share, its keys or its repeated rows, is ordered in one task. Empty tables give empty ones.
     """
-    rows = rows.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * RANGES).cast("int"))
-    targets = source_targets(rows, weights, most)
-    sums = rows.groupBy("src_null", "src", "range").agg(F.sum("size").alias("range_size"))
-    before = F.sum("range_size").over(W.partitionBy("src_null", "src").orderBy("range")) - F.col("range_size")
-    ranges = sums.withColumn("before", before).join(targets, ["src_null", "src"]).drop("range_size")
+    order = ["src_null", "src", "key", "doc_id", "size", "row"]
+    slim = rows.select(*order).repartitionByRange(partitions(rows.sparkSession), *order)
+    slim = stored(slim.withColumn("range", F.spark_partition_id()))
     keys = ["src_null", "src", "range"]
-    within = F.sum("size").over(W.partitionBy(*keys).orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+    sums = slim.groupBy(*keys).agg(F.sum("size").alias("range_size"))
+    before = F.sum("range_size").over(W.partitionBy("src_null", "src").orderBy("range")) - F.col("range_size")
+    ranges = sums.withColumn("before", before).join(source_targets(rows, weights, most), ["src_null", "src"]).drop("range_size")
+    within = F.sum("size").over(W.partitionBy(*keys).orderBy(*order[2:]).rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    out = rows.join(ranges, keys).withColumn("epochs", epochs).withColumn("prefix", F.col("before") + within)
+    out = slim.join(ranges, keys).withColumn("epochs", epochs).withColumn("prefix", F.col("before") + within)
     more = (F.col("prefix") + F.col("size") / 2 <= F.col("target") - F.col("epochs") * F.col("source_size")) & (F.col("epochs") < most)
     copies = F.col("epochs") + F.when(more, 1).otherwise(0)
-    return out.withColumn("taken", (copies * F.col("size")).cast("long")).drop("range", "before", "epochs", "prefix")
+    taken = out.select("row", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"))
+    return rows.join(taken, "row").drop("row")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, **columns) -> DataFrame:

@@ -25,8 +25,10 @@ from meshlark.llm._common import partitions, stored
 CAPACITY = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-#: Chunks between blanks whose ids a worker remembers; beyond that it forgets all that the next texts do not use.
-REMEMBERED = 600_000
+#: Bytes of chunks between blanks, and of their ids, that a worker remembers; beyond that it forgets all that the next texts do not use.
+REMEMBERED = 32 << 20
+#: What a remembered chunk costs besides its bytes and ids.
+ENTRY = 150
 #: Bytes of text that are encoded together.
 TOGETHER = 2_000_000
 
@@ -56,6 +58,7 @@ def _encoder(path: str, end_id: int):
     special = {t.content.encode(): i for i, t in tokenizer.get_added_tokens_decoder().items()}
     mark, mark_id = next(iter(special.items()), (b"", -1))
     known: dict[bytes, bytes] = {}
+    held = 0
     end, model, visible = end_id.to_bytes(4, "little"), tokenizer.model, _visible_bytes()
 
     def ids(texts: list[str]) -> list[np.ndarray]:
@@ -108,14 +111,17 @@ def _encoder(path: str, end_id: int):
         known.update(zip(other, (x.tobytes() for x in ids([c.decode() for c in other])), strict=True))
 
     def encode(texts: list[bytes]) -> list[bytes]:
+        nonlocal held
         split = [chunks_of(t) for t in texts]
         here = set().union(*split)
-        new = [c for c in here if c not in known]
-        if len(known) + len(new) > REMEMBERED:  # keep what these texts use
+        if held > REMEMBERED:  # keep what these texts use
             used = {c: known[c] for c in here if c in known}
             known.clear()
             known.update(used)
+            held = sum(len(c) + len(x) + ENTRY for c, x in used.items())
+        new = [c for c in here if c not in known]
         learn(new)
+        held += sum(len(c) + len(known[c]) + ENTRY for c in new)
         return [b"".join([known[c] for c in chunks]) + end for chunks in split]
 
     return encode
@@ -201,19 +207,19 @@ def plan_slots(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tupl
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (with doc_id, piece, length) and their sequence_id and offset. pieces is read twice: store it first.
+    """pieces (with length, and row, a number that tells rows apart) and their sequence_id and offset. pieces is read twice: store it first.
 
-    Ranks within a length come from counts by (length, salt), so a length that most pieces share is ranked in as many
-    tasks as there are salts. An empty table gives an empty one.
+    Ranks within a length come from counts by (length, salt of row), so a length that most pieces share is ranked in as
+    many tasks as there are salts, be they of one repeated document. An empty table gives an empty one.
     """
     spark = pieces.sparkSession
     salts = 4 * partitions(spark)
-    rows = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(salts)))
+    rows = pieces.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
     counts = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = counts.select("length", "salt", F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     plan = spark.createDataFrame(plan_slots(histogram, capacity), "plan_length long, first_rank long, ranks long, first_sequence long, each long, first_offset long")
-    ranked = rows.join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
+    ranked = rows.join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy("length", "salt").orderBy("row")) - 1)
     at = F.col("rank") - F.col("first_rank")
     # The plan's size follows from the capacity alone, so it may be broadcast.
     placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("plan_length")) & (at >= 0) & (at < F.col("ranks")))
@@ -221,5 +227,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, **columns) -> DataFrame:
-    """Tokenizes, cuts and packs docs; see token_pieces and pack."""
-    return pack(stored(token_pieces(docs, tokenizer, capacity, end_id, **columns)), capacity)
+    """Tokenizes, cuts and packs docs; see token_pieces and pack. Columns of docs other than the id and the text play no part."""
+    pieces = token_pieces(docs, tokenizer, capacity, end_id, **columns)
+    return pack(stored(pieces.withColumn("row", F.monotonically_increasing_id())), capacity).drop("row")

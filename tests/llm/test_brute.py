@@ -180,6 +180,25 @@ def test_mixing(which, request):
     assert rows(again) == sorted(map(tuple, out), key=str)
 
 
+def test_mixing_deals_hot_sources_evenly(spark):
+    """Symbols that stretch the keys and rows that repeat leave no range with much more than its share."""
+    rows = [(1, "same text again and again", "hot")] * 3000 + [(k, "#$%& " * 9 + f"w{k}", "hot") for k in range(3000)]
+    sized = mixing.stored(mixing.sized(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    order = ["src_null", "src", "key", "doc_id", "size", "row"]
+    dealt = sized.repartitionByRange(4, *order).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in dealt) < 0.4 * len(rows)
+    out = mixing.mix(sized)
+    assert out.count() == 6000 and out.agg(F.sum("taken")).first()[0] == sum(len(t.split()) for _, t, _ in rows)
+
+
+def test_encoder_forgets_by_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 1000)
+    encode = packing._encoder.__wrapped__(queries.tokenizer_path(), 1)
+    texts = [b"alpha beta gamma", b"x" * 5000, b"alpha delta 12", "né à".encode()]
+    assert [encode([t])[0] for t in texts * 3] == encode(texts * 3)
+    assert sum(len(c) + len(x) for c, x in encode.__closure__[[*encode.__code__.co_freevars].index("known")].cell_contents.items()) < 20_000
+
+
 @pytest.mark.parametrize("which", ["docs", "table"])
 def test_packing(which, request):
     from tokenizers import Tokenizer
