@@ -20,7 +20,8 @@ def tokenizer_path() -> str:
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: how many candidates and secrets it holds, the secrets' digests, and that of the text without them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = secrets.scan(docs, secrets.fit_forest(secrets.labelled_findings(spark)))
+    known = secrets.dictionary(docs)
+    out = secrets.scan(docs, secrets.fit_forest(secrets.labelled_findings(spark), known), known)
     digests = F.array_join(F.array_sort(F.array_distinct(F.transform("findings", lambda x: F.sha2(x["token"], 256)))), " ")
     return out.select("doc_id", "n_candidates", F.size("findings").alias("n_secrets"), digests.alias("secrets_sha256"), F.sha2(secrets.redacted(F.coalesce("text", F.lit("")), F.col("findings")), 256).alias("kept_sha256"))
 
