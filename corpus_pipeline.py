@@ -26,10 +26,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked and n_chars counted anew where something was."""
-    found = secrets.scan(docs, secrets.fit_forest(secrets.labelled_findings(spark)))
-    hit = F.size("findings") > 0
-    text = F.when(hit, secrets.redacted(F.col("text"), F.col("findings"))).otherwise(F.col("text"))
-    return found.withColumn("text", text).withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    known = secrets.dictionary(docs)
+    found = secrets.scan(docs.select(F.struct("*").alias("doc"), "text"), secrets.fit_forest(secrets.labelled_findings(spark), known), known)
+    text = secrets.redacted(F.col("text"), F.col("findings"))
+    masked = F.col("doc").withField("text", text).withField("n_chars", F.length(text).cast("long"))
+    return found.select(F.when(F.size("findings") > 0, masked).otherwise(F.col("doc")).alias("doc")).select("doc.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
