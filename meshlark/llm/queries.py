@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm import chat, html, mixing, packing, phrases, quality, secrets, simhash, suffixes, topk
+from meshlark.llm import chat, html, mixing, oracle, packing, phrases, quality, secrets, simhash, suffixes, topk
 from meshlark.llm._common import table
 
 
@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
