@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlark.llm._common import partitions, shared_dir, stored
+from meshlark.llm._common import discard, partitions, shared_dir, shuffles_dropped, stored
 
 #: Bytes of text whose anchors are sought together; longer texts are taken in overlapping pieces.
 TOGETHER = 1 << 20
@@ -111,7 +111,8 @@ def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = docs.where(F.length(text) > 0).select(_key(text).alias("key"), text.cast("binary").alias("text"))
     rows = rows.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     name = f"meshlark_{uuid.uuid4().hex}"
-    rows.write.option("path", f"{shared_dir(spark)}/meshlark-tables/{name}").option("compression", "zstd").bucketBy(partitions(spark), "key").format("parquet").saveAsTable(name)
+    with shuffles_dropped(spark):
+        rows.write.option("path", f"{shared_dir(spark)}/meshlark-tables/{name}").option("compression", "zstd").bucketBy(partitions(spark), "key").format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
@@ -160,6 +161,7 @@ def recurring_spans(texts: DataFrame, units: Units, spans_of: Callable[[DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _STRETCH_TYPES, strict=True)], names=[x.split()[0] for x in _STRETCH.split(", ")])
 
     found = stored(texts.join(hits, "key").mapInArrow(_merged(stretches), _STRETCH))
+    discard(rows, again)
     one = [F.first(c).alias(c) for c in ("hash", "suspect", "body")]
     once = stored(found.groupBy("cid").agg(*one, ((F.count("*") > 1) | F.max("many")).alias("many")))
     suspects = once.where("suspect")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlark.llm._common import partitions, stored
+from meshlark.llm._common import discard, partitions, stored
 from meshlark.llm._passages import Units, chained, runs_of, without_recurring
 
 WINDOW, ANCHOR = 200, 100
@@ -132,21 +132,27 @@ class Family:
 
     def add(self, batch: DataFrame) -> list[DataFrame]:
         """batch: shard, cid, many, body. Returns tables of (cid, lo, hi)."""
-        window = self.window
-        got = stored(batch.groupBy("shard").applyInArrow(lambda t: first_level(t, window), _SCHEMA))
-        matches, size = [got], 1
-        equal = lambda at: at >= 0 and self.levels[at][0] == size
-        new = got.where(F.col("cid").isNull())
-        at = len(self.levels) - 1
-        while equal(at):
-            old = self.levels.pop()[1]
-            got = stored(new.groupBy("shard").cogroup(old.groupBy("shard")).applyInArrow(lambda x, y: merge_scan(x, y, window, True), _SCHEMA))
-            matches.append(got)
-            new, size, at = got.where(F.col("cid").isNull()), 2 * size, at - 1
+        window, found = self.window, []
+
+        def kept(rows: DataFrame) -> DataFrame:
+            """rows of a step, stored; its matches go to found."""
+            table = stored(rows)
+            found.append(stored(table.where(F.col("cid").isNotNull()).select("cid", "lo", "hi")))
+            return table
+
+        def met(x: DataFrame, y: DataFrame, merged: bool) -> DataFrame:
+            own = [t.where(F.col("cid").isNull()).groupBy("shard") for t in (x, y)]
+            return kept(own[0].cogroup(own[1]).applyInArrow(lambda a, b: merge_scan(a, b, window, merged), _SCHEMA))
+
+        new, size = kept(batch.groupBy("shard").applyInArrow(lambda t: first_level(t, window), _SCHEMA)), 1
+        while self.levels and self.levels[-1][0] == size:
+            parts = new, self.levels.pop()[1]
+            new, size = met(*parts, True), 2 * size
+            discard(*parts)
         for _, old in self.levels:  # larger levels stay as they are
-            matches.append(stored(new.groupBy("shard").cogroup(old.groupBy("shard")).applyInArrow(lambda x, y: merge_scan(x, y, window, False), _SCHEMA)))
+            discard(met(new, old, False))
         self.levels.append((size, new))
-        return [m.where(F.col("cid").isNotNull()).select("cid", "lo", "hi") for m in matches]
+        return found
 
 
 def matches(stretches: DataFrame, window: int, batches: int = BATCHES) -> DataFrame:
@@ -156,6 +162,7 @@ def matches(stretches: DataFrame, window: int, batches: int = BATCHES) -> DataFr
     family, out = Family(window), []
     for k in range(batches):
         out += family.add(rows.where(F.col("batch") == k).drop("batch"))
+    discard(*(table for _, table in family.levels))
     for other in out[1:]:
         out[0] = out[0].unionAll(other)
     return out[0]
