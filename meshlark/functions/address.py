@@ -49,6 +49,13 @@ def local_from_index(spec: MeshSpec, index: Column) -> list[Column]:
     return [shr(index, spec.shift * d).bitwiseAND(F.lit(spec.block_size - 1)) for d in range(spec.nd)]
 
 
+def local_neighbor(spec: MeshSpec, index: Column, face: int) -> Column:
+    """Index of the site beyond a face within the own block, which wraps; only sites off the face have their true neighbour there."""
+    x = local_from_index(spec, index)
+    x[face // 2] = (x[face // 2] + (-1 if face % 2 else 1)).bitwiseAND(F.lit(spec.block_size - 1))
+    return _mixed_radix(x, spec.block_size)
+
+
 def face_index(spec: MeshSpec, face: int, g: list[Column] | None = None) -> Column:
     """Index on a face: the other dimensions in ascending order."""
     return _mixed_radix([x for d, x in enumerate(local_coords(spec, g)) if d != face // 2], spec.block_size)

@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlark.functions import matrices as M
-from meshlark.operators import su_n
+from meshlark.operators import special_unitary
 from meshlark.operators._common import written
 from meshlark.spec import MeshSpec
 
 
 def _kick(momenta: DataFrame, links: DataFrame, spec: MeshSpec, n: int, beta: float, dt: float) -> DataFrame:
-    """p + dt f, f the force of su_n.forces: minus the gradient of the action in the metric of the kinetic energy."""
-    f = su_n.forces(links, spec, n, beta)
+    """p + dt f, f the force of special_unitary.forces: minus the gradient of the action in the metric of the kinetic energy."""
+    f = special_unitary.forces(links, spec, n, beta)
     keys = ["level", *spec.g, "mu"]
     return momenta.join(f, keys, "left").select(*keys, M.added(F.col("p"), F.coalesce("f", M.scaled(F.col("p"), 0.0)), dt * n).alias("p"))
 
@@ -36,12 +36,12 @@ def leapfrog(links: DataFrame, momenta: DataFrame, spec: MeshSpec, n: int, beta:
 
 
 def hamiltonian(links: DataFrame, momenta: DataFrame, spec: MeshSpec, n: int, beta: float) -> float:
-    return su_n.kinetic_energy(momenta).first()[0] + su_n.wilson_action(links, spec, n, beta).first()[0]
+    return special_unitary.kinetic_energy(momenta).first()[0] + special_unitary.wilson_action(links, spec, n, beta).first()[0]
 
 
 def hmc_step(links: DataFrame, spec: MeshSpec, n: int, beta: float, dt: float, steps: int, seed: int) -> tuple[DataFrame, dict]:
     """(links after acceptance, {accepted, delta}); the links before are kept until then, as DataFrames do not change."""
-    momenta = written(su_n.random_momenta(links, spec, n, seed))
+    momenta = written(special_unitary.random_momenta(links, spec, n, seed))
     before = hamiltonian(links, momenta, spec, n, beta)
     new, moved = leapfrog(links, momenta, spec, n, beta, dt, steps)
     delta = hamiltonian(new, moved, spec, n, beta) - before

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshlark.functions import matrices as M
-from meshlark.operators import su_n
+from meshlark.operators import special_unitary
 from meshlark.plans import hmc
 from meshlark.sources import checkpoint, sunfile
 from meshlark.sources.lattice import spine
@@ -34,14 +34,14 @@ def test_matrices():
 def test_action_of_identity_and_force(spark, n):
     cells = spine(spark, SPEC)
     links = cells.select("level", *SPEC.g, F.explode(F.array(F.lit(0), F.lit(1))).alias("mu"), M.identity(n).alias("u"))
-    assert su_n.wilson_action(links, SPEC, n, 2.0).first()[0] == pytest.approx(0)
-    assert su_n.forces(links, SPEC, n, 2.0).select(F.sum(M.norm_squared(F.col("f")))).first()[0] == pytest.approx(0)
+    assert special_unitary.wilson_action(links, SPEC, n, 2.0).first()[0] == pytest.approx(0)
+    assert special_unitary.forces(links, SPEC, n, 2.0).select(F.sum(M.norm_squared(F.col("f")))).first()[0] == pytest.approx(0)
 
 
 def test_leapfrog_energy_error_falls(spark):
     """Half the step, about a quarter of the error: the force is the gradient of the action."""
-    links = su_n.haar_links(spine(spark, SPEC), SPEC, 2, 7).cache()
-    momenta = su_n.random_momenta(links, SPEC, 2, 8).cache()
+    links = special_unitary.haar_links(spine(spark, SPEC), SPEC, 2, 7).cache()
+    momenta = special_unitary.random_momenta(links, SPEC, 2, 8).cache()
     before = hmc.hamiltonian(links, momenta, SPEC, 2, 1.5)
     errors = [abs(hmc.hamiltonian(*hmc.leapfrog(links, momenta, SPEC, 2, 1.5, 0.1 / k, 2 * k), SPEC, 2, 1.5) - before) for k in (1, 2)]
     assert errors[1] < 0.4 * errors[0]
@@ -51,7 +51,7 @@ def test_dirac_of_constant_spinor(spark):
     spec = MeshSpec((4, 4, 4, 4), 4, True, 1.0, 1)
     v = F.array(*(F.lit(float(k == 0)) for k in range(8)))
     psi = spine(spark, spec).where("g0 = 0").withColumn("v", v)
-    out = su_n.dirac(psi, spark.createDataFrame([], "level int, g0 long, g1 long, g2 long, g3 long, mu int, u array<double>"), spec, 1, 0.5, F.lit(0.25))
+    out = special_unitary.dirac(psi, spark.createDataFrame([], "level int, g0 long, g1 long, g2 long, g3 long, mu int, u array<double>"), spec, 1, 0.5, F.lit(0.25))
     rows = out.collect()
     assert len(rows) == 64 and all(r["v"] == pytest.approx([0.75] + [0.0] * 7) for r in rows)
 
