@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlark.functions import address as A
+from meshlark.operators._common import written
 from meshlark.operators.adapt import refine
 from meshlark.operators.stencil import block_gradient
 from meshlark.sources.lattice import lattice
@@ -70,13 +71,13 @@ def plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two levels: blocks steeper than the mean are refined; children differ by 1 and 2 along the dimensions."""
-    base = plain(spark, sf_dir)
+    """Two levels: blocks steeper than the mean are refined; children differ by 1 and 2 along the dimensions. Written once a query."""
+    base = written(plain(spark, sf_dir))
     grad = block_gradient(base, SPEC)
     steep = grad.crossJoin(F.broadcast(grad.agg(F.avg("grad").alias("m")))).where("grad > m")
     fine = refine(base, steep, SPEC, preserve_norm=False)
     offset = F.when(F.col("level") == 1, F.col("g0") % 2 + 2 * (F.col("g1") % 2)).otherwise(0)
-    return fine.withColumn("u", F.col("u") + offset)
+    return written(fine.withColumn("u", F.col("u") + offset))
 
 
 def mesh_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

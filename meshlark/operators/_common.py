@@ -13,9 +13,14 @@ from meshlark.spec import MeshSpec
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: what loops and repeated reads use instead of recomputation."""
+    """df as a Parquet table in the shared folder: what loops and repeated reads use instead of recomputation.
+
+    A local session that names no spark.checkpoint.dir gets a folder of its own; on a cluster that is an error.
+    """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="meshlark-"))
     path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/meshlark-steps/{uuid.uuid4().hex}"
     df.write.parquet(path)

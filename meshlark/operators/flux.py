@@ -17,9 +17,8 @@ def face_fluxes(cells: DataFrame, spec: MeshSpec, value: str = "u", diffusivity:
     """
     h = A.spacing(spec)
     sign = F.when(F.col("face") % 2 == 0, 1.0).otherwise(-1.0)
-    ghosts = halo(cells, spec, value, (COARSER, FINER)).withColumnRenamed(value, "_n")
-    out = ghosts.join(cells.select("level", *spec.g, value), ["level", *spec.g])
-    flux = -diffusivity * sign * (F.col("_n") - F.col(value)) / h * F.pow(h, F.lit(float(spec.nd - 1)))
+    out = halo(cells, spec, value, (COARSER, FINER), own="_own_value")
+    flux = -diffusivity * sign * (F.col(value) - F.col("_own_value")) / h * F.pow(h, F.lit(float(spec.nd - 1)))
     return out.select("level", *spec.g, "face", F.when(F.col("kind") == FINER, "coarse").otherwise("fine").alias("side"), flux.alias("flux"))
 
 

@@ -52,13 +52,12 @@ def diffusion_step(cells: DataFrame, spec: MeshSpec, alpha: float, dt: float, va
 
 def block_gradient(cells: DataFrame, spec: MeshSpec, value: str = "u") -> DataFrame:
     """level, b0 ..., grad: the largest |u(x + d) - u(x)| over the cells x off the block's faces; 0 where there is none."""
-    sent = to_neighbors(cells, spec, F.col(value).alias("_n")).where("side = 1").select("level", *spec.g, "d", "_n")
-    per = F.collect_list("_n")
-    ahead = sent.groupBy("level", *spec.g).agg(per.alias("_n"))
-    inner = cells.where(~A.on_boundary(spec)).join(ahead, ["level", *spec.g])
-    most = inner.groupBy("level", *A.block_coords(spec)).agg(F.max(F.array_max(F.transform("_n", lambda x: F.abs(x - F.col(value))))).alias("grad"))
-    every = cells.select("level", *A.block_coords(spec)).distinct()
-    return every.join(most, ["level", *spec.b], "left").select("level", *spec.b, F.coalesce("grad", F.lit(0.0)).alias("grad"))
+    none = F.lit(None).cast("double")
+    ahead = to_neighbors(cells, spec, F.col(value).alias("_n")).where("side = 1").select("level", *spec.g, none.alias("_u"), "_n")
+    every = cells.select("level", *spec.g, F.col(value).alias("_u"), none.alias("_n")).unionByName(ahead)
+    per = every.groupBy("level", *spec.g).agg(F.max("_u").alias("_u"), F.min("_n").alias("_low"), F.max("_n").alias("_high")).where(F.col("_u").isNotNull())
+    step = F.when(~A.on_boundary(spec), F.greatest(F.col("_high") - F.col("_u"), F.col("_u") - F.col("_low")))
+    return per.groupBy("level", *A.block_coords(spec)).agg(F.coalesce(F.max(step), F.lit(0.0)).alias("grad"))
 
 
 def apply_kernel(cells: DataFrame, spec: MeshSpec, kernel: Callable[[np.ndarray, dict[int, np.ndarray], int], np.ndarray], value: str = "u") -> DataFrame:
