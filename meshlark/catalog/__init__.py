@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshlark.catalog import algebra, evolution, gauge, mesh
+from meshlark.catalog import algebra, evolution, gauge, mesh, spinors
 from meshlark.catalog._register import ORACLE, QUERIES
 
 
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
 
 
-__all__ = ["algebra", "evolution", "gauge", "mesh", "oracle_sql", "queries"]
+__all__ = ["algebra", "evolution", "gauge", "mesh", "oracle_sql", "queries", "spinors"]

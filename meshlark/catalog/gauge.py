@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from meshlark.catalog._register import CELLS, N, SPEC, cells, query, r6, sql6
+from meshlark.catalog._register import B, CELLS, MESH, N, SPEC, cells, mesh, query, r6, sql6
 from meshlark.functions import address as A
 from meshlark.operators import gauge, transfer
 
@@ -97,11 +97,108 @@ def link_restrict_u1(spark, sf_dir):
     return transfer.restrict_links(fine, SPEC).withColumn("theta", r6(F.col("theta")))
 
 
-@query("link_prolong_u1", f"WITH {LINKS} SELECT CAST(1 AS INTEGER) AS level, 2 * g0 + kx.range AS g0, 2 * g1 + ky.range AS g1, mu, {sql6('atan2(sin(theta), cos(theta)) / 2')} AS theta FROM links, range(2) kx, range(2) ky WHERE abs(cos(theta) + 1) > 1e-9")
+_HALF = "atan2(CASE WHEN abs(sin(theta)) < 1e-15 THEN 0.0 ELSE sin(theta) END, cos(theta)) / 2"
+
+
+@query("link_prolong_u1", f"WITH {LINKS} SELECT CAST(1 AS INTEGER) AS level, 2 * g0 + kx.range AS g0, 2 * g1 + ky.range AS g1, mu, {sql6(_HALF)} AS theta FROM links, range(2) kx, range(2) ky")
 def link_prolong_u1(spark, sf_dir):
-    """Links at an angle of pi, whose half has no sign, are left out of the comparison."""
-    safe = links(spark, sf_dir).where(F.abs(F.cos("theta") + 1) > 1e-9)
-    return transfer.prolongate_links(safe, SPEC).withColumn("theta", r6(F.col("theta")))
+    return transfer.prolongate_links(links(spark, sf_dir), SPEC).withColumn("theta", r6(F.col("theta")))
+
+
+@query("link_prolong_face", f"WITH {LINKS} SELECT CAST(1 AS INTEGER) AS level, 2 * g0 AS g0, 2 * g1 + ky.range AS g1, mu, {sql6(_HALF)} AS theta FROM links, range(2) ky WHERE g0 % {B} = 0")
+def link_prolong_face(spark, sf_dir):
+    return transfer.prolongate_link_face(links(spark, sf_dir).where(A.on_face(SPEC, 1)), SPEC, 1).withColumn("theta", r6(F.col("theta")))
+
+
+@query("link_restrict_face", f"WITH {LINKS} SELECT level, g0 // 2 AS g0, g1 // 2 AS g1, mu, {sql6('theta')} AS theta FROM links WHERE g0 % {B} = {B - 1} AND g1 % 2 = 0")
+def link_restrict_face(spark, sf_dir):
+    fine = links(spark, sf_dir).withColumn("level", F.col("level") + 1)
+    return transfer.restrict_link_face(fine.where(A.on_face(SPEC, 0)), SPEC, 0).withColumn("theta", r6(F.col("theta")))
+
+
+#: SQL: links on the mesh of two levels, and the rim of its blocks.
+MESH_LINKS = f"""{MESH}, mlinks AS (SELECT level, g0, g1, CAST(m.range AS INTEGER) AS mu, ((3 * g0 + 5 * m.range + 2 * g1 + level) % 8 + 0.5) / 8 AS theta FROM mesh, range(2) m),
+faces AS (SELECT * FROM (VALUES (0, 1, 0), (1, -1, 0), (2, 0, 1), (3, 0, -1)) f(face, dx, dy)),
+rim AS (SELECT level, g0, g1, g0 // {B} AS b0, g1 // {B} AS b1, CAST(face AS INTEGER) AS face, CAST(CASE WHEN face < 2 THEN g1 % {B} ELSE g0 % {B} END AS INTEGER) AS face_idx,
+  (g0 + dx + ({N} << level)) % ({N} << level) AS o0, (g1 + dy + ({N} << level)) % ({N} << level) AS o1 FROM mesh, faces
+  WHERE CASE face WHEN 0 THEN g0 % {B} = {B - 1} WHEN 1 THEN g0 % {B} = 0 WHEN 2 THEN g1 % {B} = {B - 1} ELSE g1 % {B} = 0 END)"""
+_LINK_HALO = f"""same AS (SELECT x.level, b0, b1, face, face_idx, l.mu, l.theta FROM rim x JOIN mlinks l ON l.level = x.level AND l.g0 = o0 AND l.g1 = o1),
+coarse AS (SELECT x.level, b0, b1, face, face_idx, l.mu, CASE WHEN l.mu = face // 2 AND face % 2 = 1 THEN 0.0 ELSE {_HALF} END AS theta FROM rim x JOIN mlinks l ON l.level = x.level - 1 AND l.g0 = o0 // 2 AND l.g1 = o1 // 2),
+fine AS (SELECT level, b0, b1, face, face_idx, mu, CASE WHEN mu = face // 2 THEN mean ELSE product END AS theta FROM (
+  SELECT x.level, b0, b1, face, face_idx, l.mu, atan2(avg(sin(theta)), avg(cos(theta))) AS mean, sum(theta) AS product FROM rim x JOIN mlinks l ON l.level = x.level + 1 AND l.g0 // 2 = o0 AND l.g1 // 2 = o1
+  WHERE CASE face WHEN 0 THEN l.g0 % 2 = 0 WHEN 1 THEN l.g0 % 2 = 1 WHEN 2 THEN l.g1 % 2 = 0 ELSE l.g1 % 2 = 1 END GROUP BY 1, 2, 3, 4, 5, 6))"""
+
+
+def mesh_links(m):
+    rows = m.select("level", *SPEC.g, F.explode(F.array(F.lit(0), F.lit(1))).alias("mu"))
+    return rows.select("level", *SPEC.g, "mu", (((3 * F.col("g0") + 5 * F.col("mu") + 2 * F.col("g1") + F.col("level")) % 8 + 0.5) / 8).alias("theta"))
+
+
+@query("link_halo_u1", f"WITH {MESH_LINKS}, {_LINK_HALO} SELECT level, b0, b1, face, face_idx, mu, {sql6('theta')} AS theta FROM (FROM same UNION ALL FROM coarse UNION ALL FROM fine)")
+def link_halo_u1(spark, sf_dir):
+    """Links beyond the faces of all blocks: of the same level, halved from a coarser one, combined from a finer one."""
+    m = mesh(spark, sf_dir)
+    return gauge.link_halo(mesh_links(m), SPEC, m.select("level", *A.block_coords(SPEC)).distinct()).withColumn("theta", r6(F.col("theta")))
+
+
+@query("synced_links_u1", f"WITH {MESH_LINKS} SELECT m.level, m.g0, m.g1, CAST(k.range AS INTEGER) AS mu, coalesce(l.theta, 0.0) AS theta FROM mesh m CROSS JOIN range(2) k LEFT JOIN (SELECT * FROM mlinks WHERE (g0 + g1) % 3 > 0) l ON l.level = m.level AND l.g0 = m.g0 AND l.g1 = m.g1 AND l.mu = k.range")
+def synced_links_u1(spark, sf_dir):
+    """A third of the cells have no links and get the identity."""
+    m = mesh(spark, sf_dir)
+    return gauge.synced_links(m, mesh_links(m).where("(g0 + g1) % 3 > 0"), SPEC)
+
+
+_ACROSS = f"""{MESH_LINKS}, mpsi AS (SELECT level, g0, g1, u AS re, (u * 3 + g0) % 7 AS im FROM mesh),
+ghosts AS (SELECT x.level, x.g0, x.g1, face, 'fine' AS side, n.re, n.im, CASE WHEN face % 2 = 0 THEN o.theta ELSE -k.theta END AS a FROM rim x JOIN mpsi n ON n.level = x.level - 1 AND n.g0 = o0 // 2 AND n.g1 = o1 // 2
+    JOIN mlinks o ON o.level = x.level AND o.g0 = x.g0 AND o.g1 = x.g1 AND o.mu = face // 2 JOIN mlinks k ON k.level = n.level AND k.g0 = n.g0 AND k.g1 = n.g1 AND k.mu = face // 2
+  UNION ALL SELECT x.level, x.g0, x.g1, face, 'coarse', avg(n.re), avg(n.im), CASE WHEN face % 2 = 0 THEN o.theta ELSE 0.0 END FROM rim x JOIN mpsi n ON n.level = x.level + 1 AND n.g0 // 2 = o0 AND n.g1 // 2 = o1
+    JOIN mlinks o ON o.level = x.level AND o.g0 = x.g0 AND o.g1 = x.g1 AND o.mu = face // 2
+    WHERE CASE face WHEN 0 THEN n.g0 % 2 = 0 WHEN 1 THEN n.g0 % 2 = 1 WHEN 2 THEN n.g1 % 2 = 0 ELSE n.g1 % 2 = 1 END GROUP BY x.level, x.g0, x.g1, face, o.theta),
+across AS (SELECT g.level, g.g0, g.g1, face, side, g.re * cos(a) - g.im * sin(a) AS re, g.re * sin(a) + g.im * cos(a) AS im, p.re AS own_re, p.im AS own_im FROM ghosts g JOIN mpsi p ON p.level = g.level AND p.g0 = g.g0 AND p.g1 = g.g1)"""
+
+
+def mesh_psi(m):
+    return m.select("level", *SPEC.g, F.col("u").alias("re"), ((F.col("u") * 3 + F.col("g0")) % 7).alias("im"))
+
+
+@query("cov_face_fluxes_u1", f"WITH {_ACROSS} SELECT level, g0, g1, face, side, {sql6('(1 - 2 * (face % 2)) * (re - own_re)')} AS re, {sql6('(1 - 2 * (face % 2)) * (im - own_im)')} AS im FROM across")
+def cov_face_fluxes_u1(spark, sf_dir):
+    """Covariant gradients times areas at faces between levels; in two dimensions spacing and area cancel."""
+    m = mesh(spark, sf_dir)
+    out = gauge.covariant_face_fluxes(mesh_psi(m), mesh_links(m), SPEC)
+    return out.select("level", *SPEC.g, "face", "side", *(r6(F.col(c)).alias(c) for c in ("re", "im")))
+
+
+_SAME_LEVEL = f"""dirs AS (SELECT * FROM (VALUES (0, 1, 1, 0), (0, -1, -1, 0), (1, 1, 0, 1), (1, -1, 0, -1)) f(mu, side, dx, dy)),
+beside AS (SELECT p.level, p.g0, p.g1, mu, side, (p.g0 + dx + ({N} << p.level)) % ({N} << p.level) AS o0, (p.g1 + dy + ({N} << p.level)) % ({N} << p.level) AS o1 FROM mpsi p, dirs),
+brought AS (SELECT x.level, x.g0, x.g1, n.re * cos(a) - n.im * sin(a) AS re, n.re * sin(a) + n.im * cos(a) AS im FROM (SELECT x.*, x.side * CASE WHEN side = 1 THEN l.theta ELSE k.theta END AS a FROM beside x
+    JOIN mlinks l ON l.level = x.level AND l.g0 = x.g0 AND l.g1 = x.g1 AND l.mu = x.mu LEFT JOIN mlinks k ON k.level = x.level AND k.g0 = x.o0 AND k.g1 = x.o1 AND k.mu = x.mu) x JOIN mpsi n ON n.level = x.level AND n.g0 = o0 AND n.g1 = o1),
+lap AS (SELECT p.level, p.g0, p.g1, p.re, p.im, (coalesce(s.re, 0) - 4 * p.re) * pow(4, p.level) AS lr, (coalesce(s.im, 0) - 4 * p.im) * pow(4, p.level) AS li FROM mpsi p LEFT JOIN
+  (SELECT level, g0, g1, sum(re) AS re, sum(im) AS im FROM (SELECT level, g0, g1, re, im FROM brought UNION ALL SELECT level, g0, g1, re, im FROM across) GROUP BY 1, 2, 3) s ON s.level = p.level AND s.g0 = p.g0 AND s.g1 = p.g1)"""
+
+
+@query("cov_laplacian_levels", f"WITH {_ACROSS}, {_SAME_LEVEL} SELECT level, g0, g1, {sql6('lr')} AS re, {sql6('li')} AS im FROM lap")
+def cov_laplacian_levels(spark, sf_dir):
+    m = mesh(spark, sf_dir)
+    return gauge.covariant_laplacian(mesh_psi(m), mesh_links(m), SPEC, levels=True).withColumns({c: r6(F.col(c)) for c in ("re", "im")})
+
+
+_REFLUXED = f"""{_ACROSS}, {_SAME_LEVEL}, kept AS (SELECT *, re + 0.05 * lr / 2 AS nr, im + 0.05 * li / 2 AS ni FROM lap),
+flux AS (SELECT level, g0, g1, face, side, -0.025 * (1 - 2 * (face % 2)) * (re - own_re) AS fr, -0.025 * (1 - 2 * (face % 2)) * (im - own_im) AS fi FROM across),
+register AS (SELECT level, g0, g1, face, -fr AS rr, -fi AS ri FROM flux WHERE side = 'coarse' UNION ALL SELECT CAST(x.level - 1 AS INTEGER), x.o0 // 2, x.o1 // 2, xor(x.face, 1), fr, fi FROM rim x JOIN flux f ON f.side = 'fine' AND f.level = x.level AND f.g0 = x.g0 AND f.g1 = x.g1 AND f.face = x.face),
+signed AS (SELECT level, g0, g1, sum(CASE WHEN face % 2 = 0 THEN -rr ELSE rr END) AS rr, sum(CASE WHEN face % 2 = 0 THEN -ri ELSE ri END) AS ri FROM register GROUP BY 1, 2, 3),
+stepped AS (SELECT k.level, k.g0, k.g1, nr + coalesce(rr, 0) * pow(4, k.level) AS re, ni + coalesce(ri, 0) * pow(4, k.level) AS im FROM kept k LEFT JOIN signed s ON s.level = k.level AND s.g0 = k.g0 AND s.g1 = k.g1),
+norm AS (SELECT sqrt(sum((re * re + im * im) / pow(4, level))) AS n FROM stepped)"""
+
+
+@query("imaginary_step_levels", f"WITH {_REFLUXED} SELECT level, g0, g1, {sql6('re / n')} AS re, {sql6('im / n')} AS im FROM stepped, norm")
+def imaginary_step_levels(spark, sf_dir):
+    """A step of imaginary time on the mesh of two levels, corrected by the fluxes between them and normalized."""
+    from meshlark.plans import evolution
+
+    m = mesh(spark, sf_dir)
+    out = evolution.evolve_adaptive(mesh_psi(m), mesh_links(m), SPEC, 1.0, F.lit(0.0), 0.05, 1)
+    return out.select("level", *SPEC.g, *(r6(F.col(c)).alias(c) for c in ("re", "im")))
 
 
 _AT = "sqrt(pow(g0 - 16, 2) + pow(g1 - 16, 2)"

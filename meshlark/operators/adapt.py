@@ -1,4 +1,4 @@
-"""Refinement and coarsening of meshes of leaf cells; one pass each, loops are in meshlark.plans.adaptation."""
+"""Refinement and coarsening of meshes of leaf cells; one pass each, loops are in meshlark.plans.evolution."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from meshlark.functions import address as A
 from meshlark.operators.neighbors import _beyond, complete_siblings
 from meshlark.operators.stencil import block_gradient
-from meshlark.operators.transfer import prolongate, restrict
+from meshlark.operators.transfer import named, prolongate, restrict
 from meshlark.spec import MeshSpec
 
 
@@ -22,14 +22,14 @@ def coarsen_flags(gradients: DataFrame, threshold: float, hysteresis: float) ->
     return gradients.withColumn("coarsen", (F.col("level") > 0) & (F.col("grad") < threshold * hysteresis))
 
 
-def refine(cells: DataFrame, blocks: DataFrame, spec: MeshSpec, value: str = "u", preserve_norm: bool = True) -> DataFrame:
+def refine(cells: DataFrame, blocks: DataFrame, spec: MeshSpec, value: str | tuple[str, ...] = "u", preserve_norm: bool = True) -> DataFrame:
     """cells with those of the given blocks replaced by their children. Blocks of the finest level are an error."""
-    keyed = cells.select("level", *spec.g, value, *A.block_coords(spec))
+    keyed = cells.select("level", *spec.g, *named(value), *A.block_coords(spec))
     wanted = blocks.select("level", *spec.b)
     too_fine = F.when(F.col("level") >= spec.max_level, F.raise_error(F.lit("MaxRefinementExceeded")).cast("int")).otherwise(F.col("level"))
     down = keyed.join(wanted, ["level", *spec.b], "left_semi").withColumn("level", too_fine)
-    kept = keyed.join(wanted, ["level", *spec.b], "left_anti").select("level", *spec.g, value)
-    return kept.unionByName(prolongate(down, spec, value, preserve_norm).select("level", *spec.g, value))
+    kept = keyed.join(wanted, ["level", *spec.b], "left_anti").select("level", *spec.g, *named(value))
+    return kept.unionByName(prolongate(down, spec, value, preserve_norm).select("level", *spec.g, *named(value)))
 
 
 def coarsenable(gradients: DataFrame, spec: MeshSpec, threshold: float, hysteresis: float) -> DataFrame:
@@ -37,13 +37,13 @@ def coarsenable(gradients: DataFrame, spec: MeshSpec, threshold: float, hysteres
     return complete_siblings(coarsen_flags(gradients, threshold, hysteresis).where("coarsen"), spec)
 
 
-def coarsen(cells: DataFrame, parents: DataFrame, spec: MeshSpec, value: str = "u", preserve_norm: bool = True) -> DataFrame:
+def coarsen(cells: DataFrame, parents: DataFrame, spec: MeshSpec, value: str | tuple[str, ...] = "u", preserve_norm: bool = True) -> DataFrame:
     """cells with the children of the given parents merged into them."""
     up = parents.select((F.col("level") + 1).alias("level"), *(F.col(b).alias(f"p{d}") for d, b in enumerate(spec.b)))
-    keyed = cells.select("level", *spec.g, value, *(A.shr(g, spec.shift + 1).alias(f"p{d}") for d, g in enumerate(spec.g)))
+    keyed = cells.select("level", *spec.g, *named(value), *(A.shr(g, spec.shift + 1).alias(f"p{d}") for d, g in enumerate(spec.g)))
     keys = ["level", *(f"p{d}" for d in range(spec.nd))]
     merged = restrict(keyed.join(up, keys, "left_semi"), spec, value, preserve_norm)
-    return keyed.join(up, keys, "left_anti").select("level", *spec.g, value).unionByName(merged.select("level", *spec.g, value))
+    return keyed.join(up, keys, "left_anti").select("level", *spec.g, *named(value)).unionByName(merged.select("level", *spec.g, *named(value)))
 
 
 def balance_violations(blocks: DataFrame, spec: MeshSpec) -> DataFrame:

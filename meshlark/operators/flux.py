@@ -22,15 +22,15 @@ def face_fluxes(cells: DataFrame, spec: MeshSpec, value: str = "u", diffusivity:
     return out.select("level", *spec.g, "face", F.when(F.col("kind") == FINER, "coarse").otherwise("fine").alias("side"), flux.alias("flux"))
 
 
-def flux_register(fluxes: DataFrame, spec: MeshSpec, scale: float = 1.0) -> DataFrame:
+def flux_register(fluxes: DataFrame, spec: MeshSpec, scale: float = 1.0, flux: str = "flux") -> DataFrame:
     """level, g0 ..., face, r: at each face of a coarse cell, minus its own flux plus those of the fine cells that touch it."""
-    coarse = fluxes.where("side = 'coarse'").select("level", *spec.g, "face", (-scale * F.col("flux")).alias("r"))
+    coarse = fluxes.where("side = 'coarse'").select("level", *spec.g, "face", (-scale * F.col(flux)).alias("r"))
     level = F.col("level") - 1
     beyond = []
     for d, g in enumerate(spec.g):
         step = F.when(F.col("face") == 2 * d, 1).when(F.col("face") == 2 * d + 1, -1).otherwise(0)
         beyond.append(A.shr(F.col(g) + step, 1) if not spec.periodic[d] else A.shr(F.pmod(F.col(g) + step, A.extent(spec, d, F.col("level"))), 1))
-    fine = fluxes.where("side = 'fine'").select(level.alias("level"), *(c.alias(g) for c, g in zip(beyond, spec.g, strict=True)), F.col("face").bitwiseXOR(F.lit(1)).alias("face"), (scale * F.col("flux")).alias("r"))
+    fine = fluxes.where("side = 'fine'").select(level.alias("level"), *(c.alias(g) for c, g in zip(beyond, spec.g, strict=True)), F.col("face").bitwiseXOR(F.lit(1)).alias("face"), (scale * F.col(flux)).alias("r"))
     return coarse.unionByName(fine).groupBy("level", *spec.g, "face").agg(F.sum("r").alias("r"))
 
 

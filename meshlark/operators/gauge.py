@@ -85,11 +85,47 @@ def transported(psi: DataFrame, links: DataFrame, spec: MeshSpec) -> DataFrame:
     return turned.select("level", *(c.alias(g) for c, g in zip(target, spec.g, strict=True)), "mu", "side", "re", "im").where(A.inside(A.cols(spec.g)))
 
 
-def covariant_laplacian(psi: DataFrame, links: DataFrame, spec: MeshSpec) -> DataFrame:
-    """psi's cells with re, im of [sum of transported neighbours - 2 nd psi] / h^2."""
+def transported_across(psi: DataFrame, links: DataFrame, spec: MeshSpec) -> DataFrame:
+    """level, g0 ..., face, kind, mu, side, re, im, own_re, own_im: what lies beyond faces between levels, brought to the cell inside.
+
+    On + faces by the cell's own link, on - faces by the adjoint of the covering coarse cell's link; beyond a - face to a
+    finer level there is no such link, which counts as the identity.
+    """
+    from meshlark.operators.halo import COARSER, FINER, halo
+
+    field = psi.select("level", *spec.g, F.struct("re", "im").alias("u"))
+    mean = lambda c: F.when(F.count(c) > 0, F.struct(F.avg(c["re"]).alias("re"), F.avg(c["im"]).alias("im")))
+    ghosts = halo(field, spec, "u", (COARSER, FINER), restrict=mean, own="own")
+    ghosts = ghosts.withColumn("mu", A.shr("face", 1)).withColumn("side", 1 - 2 * (F.col("face") % 2))
+    back, coarse = F.col("side") == -1, F.col("kind") == COARSER
+    below = A.wrap(spec, [F.col(g) - F.when(F.col("mu") == d, 1).otherwise(0) for d, g in enumerate(spec.g)], F.col("level"))
+    at_level = F.when(~back, F.col("level")).when(coarse, F.col("level") - 1).otherwise(-1)
+    places = [F.when(back, A.shr(c, 1)).otherwise(F.col(g)).alias(f"l{d}") for d, (c, g) in enumerate(zip(below, spec.g, strict=True))]
+    keys = ["l_level", *(f"l{d}" for d in range(spec.nd)), "mu"]
+    there = links.select(F.col("level").alias("l_level"), *(F.col(g).alias(f"l{d}") for d, g in enumerate(spec.g)), "mu", "theta")
+    found = ghosts.select("*", at_level.alias("l_level"), *places).join(there, keys, "left")
+    angle = F.coalesce("theta", F.lit(0.0)) * F.col("side")
+    re, im = F.col("u.re"), F.col("u.im")
+    return found.select("level", *spec.g, "face", "kind", "mu", "side", (re * F.cos(angle) - im * F.sin(angle)).alias("re"), (re * F.sin(angle) + im * F.cos(angle)).alias("im"), F.col("own.re").alias("own_re"), F.col("own.im").alias("own_im"))
+
+
+def covariant_face_fluxes(psi: DataFrame, links: DataFrame, spec: MeshSpec, scale: float = 1.0) -> DataFrame:
+    """level, g0 ..., face, side ('coarse' or 'fine'), re, im: scale times the covariant gradient along +d times the area, at faces between levels."""
+    from meshlark.operators.halo import FINER
+
+    h = A.spacing(spec)
+    factor = scale * F.col("side") * F.pow(h, F.lit(float(spec.nd - 2)))
+    out = transported_across(psi, links, spec)
+    return out.select("level", *spec.g, "face", *((factor * (F.col(c) - F.col(f"own_{c}"))).alias(c) for c in ("re", "im")), F.when(F.col("kind") == FINER, "coarse").otherwise("fine").alias("side"))
+
+
+def covariant_laplacian(psi: DataFrame, links: DataFrame, spec: MeshSpec, levels: bool = False) -> DataFrame:
+    """psi's cells with re, im of [sum of transported neighbours - 2 nd psi] / h^2; levels: also over faces between levels."""
     h = A.spacing(spec)
     own = psi.select("level", *spec.g, (-2.0 * spec.nd * F.col("re")).alias("re"), (-2.0 * spec.nd * F.col("im")).alias("im"), F.lit(True).alias("own"))
     every = own.unionByName(transported(psi, links, spec).select("level", *spec.g, "re", "im", F.lit(False).alias("own")))
+    if levels:
+        every = every.unionByName(transported_across(psi, links, spec).select("level", *spec.g, "re", "im", F.lit(False).alias("own")))
     out = every.groupBy("level", *spec.g).agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.max("own").alias("own")).where("own")
     return out.select("level", *spec.g, (F.col("re") / (h * h)).alias("re"), (F.col("im") / (h * h)).alias("im"))
 
@@ -100,9 +136,9 @@ def covariant_derivative(psi: DataFrame, links: DataFrame, spec: MeshSpec) -> Da
     return transported(psi, links, spec).groupBy("level", *spec.g, "mu").agg(*((F.sum(F.col("side") * F.col(c))).alias(c) for c in ("re", "im"))).select("level", *spec.g, "mu", *((F.col(c) / (2.0 * h)).alias(c) for c in ("re", "im")))
 
 
-def hamiltonian(psi: DataFrame, links: DataFrame, spec: MeshSpec, mass: float, potential: Column) -> DataFrame:
+def hamiltonian(psi: DataFrame, links: DataFrame, spec: MeshSpec, mass: float, potential: Column, levels: bool = False) -> DataFrame:
     """psi's cells with re, im of H psi = -lap / 2m + V psi. potential: an expression on level and g0 ..."""
-    lap = covariant_laplacian(psi, links, spec).withColumnsRenamed({"re": "_re", "im": "_im"})
+    lap = covariant_laplacian(psi, links, spec, levels).withColumnsRenamed({"re": "_re", "im": "_im"})
     out = psi.join(lap, ["level", *spec.g])
     return out.select("level", *spec.g, *((-F.col(f"_{c}") / (2.0 * mass) + potential * F.col(c)).alias(c) for c in ("re", "im")))
 

@@ -11,18 +11,23 @@ from meshlark.functions import address as A
 from meshlark.spec import MeshSpec
 
 
-def restrict(cells: DataFrame, spec: MeshSpec, value: str = "u", preserve_norm: bool = False, level: int | None = None) -> DataFrame:
+def named(value: str | tuple[str, ...]) -> tuple[str, ...]:
+    """The value columns of a field: one, or those of its components."""
+    return (value,) if isinstance(value, str) else tuple(value)
+
+
+def restrict(cells: DataFrame, spec: MeshSpec, value: str | tuple[str, ...] = "u", preserve_norm: bool = False, level: int | None = None) -> DataFrame:
     """The mean of the 2^nd children at their parents, times sqrt(2^nd) if the norm is to stay."""
     scale = math.sqrt(spec.children) if preserve_norm else 1.0
     rows = cells.where("level > 0") if level is None else cells.where(F.col("level") == level)
-    return rows.groupBy((F.col("level") - 1).alias("level"), *(A.shr(g, 1).alias(g) for g in spec.g)).agg((F.sum(value) / spec.children * scale).alias(value))
+    return rows.groupBy((F.col("level") - 1).alias("level"), *(A.shr(g, 1).alias(g) for g in spec.g)).agg(*((F.sum(v) / spec.children * scale).alias(v) for v in named(value)))
 
 
-def prolongate(cells: DataFrame, spec: MeshSpec, value: str = "u", preserve_norm: bool = False) -> DataFrame:
+def prolongate(cells: DataFrame, spec: MeshSpec, value: str | tuple[str, ...] = "u", preserve_norm: bool = False) -> DataFrame:
     """Each cell copied to its 2^nd children, over sqrt(2^nd) if the norm is to stay."""
     scale = 1.0 / math.sqrt(spec.children) if preserve_norm else 1.0
     kids = [F.struct(*((2 * F.col(g) + (k >> d & 1)).alias(g) for d, g in enumerate(spec.g))) for k in range(spec.children)]
-    return cells.select((F.col("level") + 1).alias("level"), F.explode(F.array(*kids)).alias("k"), (F.col(value) * scale).alias(value)).select("level", "k.*", value)
+    return cells.select((F.col("level") + 1).alias("level"), F.explode(F.array(*kids)).alias("k"), *((F.col(v) * scale).alias(v) for v in named(value))).select("level", "k.*", *named(value))
 
 
 def restrict_into(cells: DataFrame, fine: DataFrame, spec: MeshSpec, value: str = "u") -> DataFrame:
@@ -63,8 +68,25 @@ def boundary_face(cells: DataFrame, spec: MeshSpec, face: int) -> DataFrame:
 
 
 def half_angle(theta: Column) -> Column:
-    """Half of an angle taken in (-pi, pi]."""
-    return F.atan2(F.sin(theta), F.cos(theta)) / 2
+    """Half of an angle taken in (-pi, pi]; a sine that only rounding tells from zero is zero."""
+    sine = F.when(F.abs(F.sin(theta)) < 1e-15, 0.0).otherwise(F.sin(theta))
+    return F.atan2(sine, F.cos(theta)) / 2
+
+
+def prolongate_link_face(links: DataFrame, spec: MeshSpec, face: int) -> DataFrame:
+    """U(1) links of cells on a face, halved, at the 2^(nd - 1) finer cells on that side of it."""
+    bit = 0 if face % 2 else 1
+    kids = [F.struct(*((2 * F.col(g) + (k >> d & 1)).alias(g) for d, g in enumerate(spec.g))) for k in range(spec.children) if (k >> (face // 2) & 1) == bit]
+    return links.select((F.col("level") + 1).alias("level"), F.explode(F.array(*kids)).alias("k"), "mu", half_angle(F.col("theta")).alias("theta")).select("level", "k.*", "mu", "theta")
+
+
+def restrict_link_face(links: DataFrame, spec: MeshSpec, face: int) -> DataFrame:
+    """U(1) links of the coarser face: the first fine link of each 2^(nd - 1), without a product."""
+    first = F.lit(True)
+    for d, g in enumerate(spec.g):
+        if d != face // 2:
+            first = first & (F.col(g) % 2 == 0)
+    return links.where(first & (F.col("level") > 0)).select((F.col("level") - 1).alias("level"), *(A.shr(g, 1).alias(g) for g in spec.g), "mu", "theta")
 
 
 def prolongate_links(links: DataFrame, spec: MeshSpec) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshlark.functions import address as A
-from meshlark.operators import adapt, gauge, measure, stencil, transfer
+from meshlark.operators import adapt, flux, gauge, measure, stencil, transfer
 from meshlark.operators._common import blocks_of, written
 from meshlark.spec import MeshSpec
 
@@ -50,6 +50,27 @@ def evolve_until(psi: DataFrame, links: DataFrame, spec: MeshSpec, mass: float,
     return psi, {"steps": steps, "energy": before, "converged": False}
 
 
+def evolve_adaptive(psi: DataFrame, links: DataFrame, spec: MeshSpec, mass: float, potential: Column, dt: float, steps: int, normalize_every: int = 1, adapt_every: int = 0, threshold: float = 0.1, hysteresis: float = 0.5) -> DataFrame:
+    """Imaginary time on a mesh of several levels: each step is corrected by the fluxes at faces between levels, then
+    normalized and adapted every so often; normalized at the end.
+
+    Fluxes carry the factor -dt / 2m, so that what leaves one level enters the other: without potential the sum of psi
+    over the volume does not change. Links stay as they are; where an adapted mesh has none, the identity counts.
+    """
+    for k in range(1, steps + 1):
+        fluxes = written(gauge.covariant_face_fluxes(psi, links, spec, -dt / (2.0 * mass)))
+        h = gauge.hamiltonian(psi, links, spec, mass, potential, levels=True).withColumnsRenamed({"re": "_re", "im": "_im"})
+        psi = written(psi.join(h, ["level", *spec.g]).select("level", *spec.g, *((F.col(c) - dt * F.col(f"_{c}")).alias(c) for c in ("re", "im"))))
+        for c in ("re", "im"):
+            psi = flux.reflux(psi, flux.flux_register(fluxes, spec, flux=c), spec, c)
+        psi = written(psi)
+        if normalize_every and k % normalize_every == 0:
+            psi = written(normalize(psi, spec))
+        if adapt_every and k % adapt_every == 0:
+            psi = adapt_mesh(psi, spec, threshold, hysteresis, ("re", "im")).cells
+    return normalize(psi, spec)
+
+
 @dataclass(frozen=True)
 class Adapted:
     cells: DataFrame
@@ -61,16 +82,22 @@ class Adapted:
         return bool(self.refined or self.coarsened)
 
 
-def adapt_mesh(cells: DataFrame, spec: MeshSpec, threshold: float, hysteresis: float, value: str = "u", preserve_norm: bool = True) -> Adapted:
+def adapt_mesh(cells: DataFrame, spec: MeshSpec, threshold: float, hysteresis: float, value: str | tuple[str, ...] = "u", preserve_norm: bool = True) -> Adapted:
     """Refines all steep blocks until none is left, then blocks two levels too coarse for a neighbour, then merges flat siblings.
 
     Each pass treats all its blocks at once; the finest level bounds the passes. A merge that would put a block beside one
-    two levels finer is left out.
+    two levels finer is left out. Of several value columns the gradient of their magnitude counts.
     """
     refined = coarsened = 0
-    cells = written(cells.select("level", *spec.g, value))
+    names = transfer.named(value)
+    cells = written(cells.select("level", *spec.g, *names))
+
+    def gradient() -> DataFrame:
+        seen = F.col(names[0]) if len(names) == 1 else F.sqrt(sum((F.col(v) * F.col(v) for v in names[1:]), F.col(names[0]) * F.col(names[0])))
+        return stencil.block_gradient(cells.select("level", *spec.g, seen.alias("_seen")), spec, "_seen")
+
     while True:
-        steep = written(adapt.refine_flags(stencil.block_gradient(cells, spec, value), spec, threshold).where("refine").select("level", *spec.b))
+        steep = written(adapt.refine_flags(gradient(), spec, threshold).where("refine").select("level", *spec.b))
         n = steep.count()
         if not n:
             break
@@ -82,7 +109,7 @@ def adapt_mesh(cells: DataFrame, spec: MeshSpec, threshold: float, hysteresis: f
             break
         cells, refined = written(adapt.refine(cells, coarse, spec, value, preserve_norm)), refined + n
     while True:
-        parents = written(adapt.coarsenable(stencil.block_gradient(cells, spec, value), spec, threshold, hysteresis))
+        parents = written(adapt.coarsenable(gradient(), spec, threshold, hysteresis))
         if parents.isEmpty():
             break
         merged = blocks_of(adapt.coarsen(cells, parents, spec, value, preserve_norm), spec)
