@@ -151,12 +151,14 @@ def recurring_spans(texts: DataFrame, units: Units, spans_of: Callable[[DataFram
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for key, text, copies, hits in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("copies").to_pylist(), batch.column("hits").to_pylist(), strict=True):
+            ends, fields = _lists(batch.column("hits"))
+            first, last, hash_, suspect = (fields[c].tolist() for c in ("first", "last", "hash", "suspect"))
+            for k, (key, text, copies) in enumerate(zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("copies").to_pylist(), strict=True)):
                 parts, many = units.split(text.as_py()), copies > 1
-                for hit in hits:
-                    body = units.join(parts[hit["first"] : hit["last"] + window])
-                    cid = hashlib.blake2b(body, digest_size=16, salt=hit["hash"].to_bytes(8, "little", signed=True)).digest()
-                    out.append((key, hit["first"], cid, hit["hash"], hit["suspect"], many, body))
+                for i in range(ends[k], ends[k + 1]):
+                    body = units.join(parts[first[i] : last[i] + window])
+                    cid = hashlib.blake2b(body, digest_size=16, salt=hash_[i].to_bytes(8, "little", signed=True)).digest()
+                    out.append((key, first[i], cid, hash_[i], suspect[i], many, body))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _STRETCH_TYPES, strict=True)], names=[x.split()[0] for x in _STRETCH.split(", ")])
 
@@ -213,14 +215,19 @@ def _merged(f: Callable) -> Callable:
     return run
 
 
-def covered(n: int, spans: list[dict] | None, whole: bool) -> np.ndarray:
-    """Which of n units lie in a span; all of them if whole."""
-    if whole or not spans:
+def _lists(column: pa.ListArray) -> tuple[list[int], dict[str, np.ndarray]]:
+    """Where the lists of structs of a column begin and end, and their fields; a null is an empty list."""
+    rows = column.flatten()
+    size = column.value_lengths().fill_null(0).to_numpy()
+    fields = {f.name: rows.field(f.name).to_numpy(zero_copy_only=False) for f in rows.type}
+    return np.concatenate(([0], np.cumsum(size))).tolist(), fields
+
+
+def covered(n: int, lo: np.ndarray, hi: np.ndarray, whole: bool) -> np.ndarray:
+    """Which of n units lie in a span [lo, hi); all of them if whole."""
+    if whole or not len(lo):
         return np.full(n, whole)
-    steps = np.zeros(n + 1, np.int64)
-    np.add.at(steps, [s["lo"] for s in spans], 1)
-    np.add.at(steps, [s["hi"] for s in spans], -1)
-    return np.cumsum(steps[:-1]) > 0
+    return np.cumsum(np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1))[:-1] > 0
 
 
 def without_recurring(docs: DataFrame, units: Units, spans_of: Callable[[DataFrame], DataFrame], digest: Callable, schema: str, empty: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,9 +238,11 @@ def without_recurring(docs: DataFrame, units: Units, spans_of: Callable[[DataFra
     def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, text, copies, spans in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("copies").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            ends, fields = _lists(batch.column("spans"))
+            for k, (key, text, copies) in enumerate(zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("copies").to_pylist(), strict=True)):
                 parts = units.split(text.as_py())
-                out.append((key, *digest(parts, covered(len(parts), spans, copies > 1 and len(parts) >= units.window))))
+                lo, hi = (fields[c][ends[k] : ends[k + 1]] for c in ("lo", "hi"))
+                out.append((key, *digest(parts, covered(len(parts), lo, hi, copies > 1 and len(parts) >= units.window))))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["key", *names])
 
     per = texts.join(recurring_spans(texts, units, spans_of), "key", "left").mapInArrow(results, f"key binary, {schema}")
