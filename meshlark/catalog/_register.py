@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +20,38 @@ from meshlark.spec import MeshSpec
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-N, B = 32, 8
-SPEC = MeshSpec((N, N), B, True, 1.0, 3)
-OPEN = MeshSpec((N, N), B, False, 1.0, 3)
+B = 8
+#: SQL: cells along each dimension of the lattice of level 0: a power of two that grows with the root of the number of parts.
+SIZE = "size AS (SELECT CAST(greatest(32, pow(2, ceil(log2(sqrt(3.0 * greatest(count(*), 1)))))) AS BIGINT) AS n FROM part)"
+N = "(SELECT n FROM size)"
+_SITES: ContextVar[int] = ContextVar("sites", default=32)
+
+
+def sites(spark: SparkSession, sf_dir: str) -> int:
+    """What SIZE says, for the tables of a folder."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").count()
+    return max(32, 1 << math.ceil(math.log2(math.sqrt(3.0 * max(parts, 1)))))
+
+
+@functools.cache
+def _spec(n: int, periodic: bool) -> MeshSpec:
+    return MeshSpec((n, n), B, periodic, 1.0, 3)
+
+
+class _Scaled:
+    """The MeshSpec of the lattice that the query at hand works on; its size follows from the tables."""
+
+    def __init__(self, periodic: bool) -> None:
+        self._periodic = periodic
+
+    def __getattr__(self, name: str):
+        return getattr(_spec(_SITES.get(), self._periodic), name)
+
+
+SPEC, OPEN = _Scaled(True), _Scaled(False)
 
 #: SQL: the lattice.
-CELLS = f"""spine AS (SELECT CAST(a.range AS BIGINT) AS g0, CAST(b.range AS BIGINT) AS g1 FROM range({N}) a, range({N}) b),
+CELLS = f"""{SIZE}, spine AS (SELECT CAST(a.range AS BIGINT) AS g0, CAST(b.range AS BIGINT) AS g1 FROM (SELECT unnest(range({N})) AS range) a, (SELECT unnest(range({N})) AS range) b),
 sums AS (SELECT l_partkey % {N} AS g0, l_suppkey % {N} AS g1, sum(l_quantity) AS u, count(*) AS c FROM lineitem GROUP BY 1, 2),
 cells AS (SELECT CAST(0 AS INTEGER) AS level, s.g0, s.g1, CAST(coalesce(x.u, 0) AS DOUBLE) AS u, CAST(coalesce(x.c, 0) AS BIGINT) AS c
   FROM spine s LEFT JOIN sums x ON s.g0 = x.g0 AND s.g1 = x.g1)"""
@@ -41,7 +70,15 @@ blocks AS (SELECT DISTINCT level, g0 // {B} AS b0, g1 // {B} AS b1 FROM mesh)"""
 
 def query(name: str, sql: str | None = None):
     def put(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            token = _SITES.set(sites(spark, sf_dir))
+            try:
+                return f(spark, sf_dir)
+            finally:
+                _SITES.reset(token)
+
+        QUERIES[name] = run
         if sql:
             ORACLE[name] = sql
         return f

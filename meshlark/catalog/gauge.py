@@ -15,12 +15,12 @@ PLAQ = f"""{LINKS}, wide AS (SELECT level, g0, g1, max(CASE WHEN mu = 0 THEN the
 plaq AS (SELECT x.level, x.g0, x.g1, x.t0 + a.t1 - b.t0 - x.t1 AS angle FROM wide x JOIN wide a ON a.g0 = (x.g0 + 1) % {N} AND a.g1 = x.g1 JOIN wide b ON b.g0 = x.g0 AND b.g1 = (x.g1 + 1) % {N})"""
 LOOPS = f"""{PLAQ}, loops AS (SELECT p.level, p.g0, p.g1, m.range AS mu, CASE m.range WHEN 0 THEN sin(p.angle) - sin(q.angle) ELSE sin(r.angle) - sin(p.angle) END AS s,
   CASE m.range WHEN 0 THEN cos(p.angle) + cos(q.angle) ELSE cos(r.angle) + cos(p.angle) END AS c
-  FROM plaq p JOIN plaq q ON q.g0 = p.g0 AND q.g1 = (p.g1 + {N - 1}) % {N} JOIN plaq r ON r.g0 = (p.g0 + {N - 1}) % {N} AND r.g1 = p.g1, range(2) m)"""
+  FROM plaq p JOIN plaq q ON q.g0 = p.g0 AND q.g1 = (p.g1 + {N} - 1) % {N} JOIN plaq r ON r.g0 = (p.g0 + {N} - 1) % {N} AND r.g1 = p.g1, range(2) m)"""
 COV = f"""{PLAQ}, psi AS (SELECT level, g0, g1, u AS re, CAST(c AS DOUBLE) AS im FROM cells),
 sides AS (SELECT x.level, x.g0, x.g1, 0 AS mu, 1 AS side, n.re, n.im, x.t0 AS a FROM wide x JOIN psi n ON n.g0 = (x.g0 + 1) % {N} AND n.g1 = x.g1
-  UNION ALL SELECT x.level, x.g0, x.g1, 0, -1, n.re, n.im, -l.t0 FROM wide x JOIN psi n ON n.g0 = (x.g0 + {N - 1}) % {N} AND n.g1 = x.g1 JOIN wide l ON l.g0 = n.g0 AND l.g1 = n.g1
+  UNION ALL SELECT x.level, x.g0, x.g1, 0, -1, n.re, n.im, -l.t0 FROM wide x JOIN psi n ON n.g0 = (x.g0 + {N} - 1) % {N} AND n.g1 = x.g1 JOIN wide l ON l.g0 = n.g0 AND l.g1 = n.g1
   UNION ALL SELECT x.level, x.g0, x.g1, 1, 1, n.re, n.im, x.t1 FROM wide x JOIN psi n ON n.g0 = x.g0 AND n.g1 = (x.g1 + 1) % {N}
-  UNION ALL SELECT x.level, x.g0, x.g1, 1, -1, n.re, n.im, -l.t1 FROM wide x JOIN psi n ON n.g0 = x.g0 AND n.g1 = (x.g1 + {N - 1}) % {N} JOIN wide l ON l.g0 = n.g0 AND l.g1 = n.g1),
+  UNION ALL SELECT x.level, x.g0, x.g1, 1, -1, n.re, n.im, -l.t1 FROM wide x JOIN psi n ON n.g0 = x.g0 AND n.g1 = (x.g1 + {N} - 1) % {N} JOIN wide l ON l.g0 = n.g0 AND l.g1 = n.g1),
 turned AS (SELECT level, g0, g1, mu, side, re * cos(a) - im * sin(a) AS re, re * sin(a) + im * cos(a) AS im FROM sides),
 lap AS (SELECT p.level, p.g0, p.g1, sum(t.re) - 4 * p.re AS re, sum(t.im) - 4 * p.im AS im FROM psi p JOIN turned t ON t.g0 = p.g0 AND t.g1 = p.g1 GROUP BY p.level, p.g0, p.g1, p.re, p.im)"""
 ENERGY = f"""{COV}, h AS (SELECT p.level, p.g0, p.g1, p.re AS pr, p.im AS pi_, -l.re / 2 + v * p.re AS re, -l.im / 2 + v * p.im AS im
@@ -171,8 +171,10 @@ def cov_face_fluxes_u1(spark, sf_dir):
 
 _SAME_LEVEL = f"""dirs AS (SELECT * FROM (VALUES (0, 1, 1, 0), (0, -1, -1, 0), (1, 1, 0, 1), (1, -1, 0, -1)) f(mu, side, dx, dy)),
 beside AS (SELECT p.level, p.g0, p.g1, mu, side, (p.g0 + dx + ({N} << p.level)) % ({N} << p.level) AS o0, (p.g1 + dy + ({N} << p.level)) % ({N} << p.level) AS o1 FROM mpsi p, dirs),
-brought AS (SELECT x.level, x.g0, x.g1, n.re * cos(a) - n.im * sin(a) AS re, n.re * sin(a) + n.im * cos(a) AS im FROM (SELECT x.*, x.side * CASE WHEN side = 1 THEN l.theta ELSE k.theta END AS a FROM beside x
-    JOIN mlinks l ON l.level = x.level AND l.g0 = x.g0 AND l.g1 = x.g1 AND l.mu = x.mu LEFT JOIN mlinks k ON k.level = x.level AND k.g0 = x.o0 AND k.g1 = x.o1 AND k.mu = x.mu) x JOIN mpsi n ON n.level = x.level AND n.g0 = o0 AND n.g1 = o1),
+brought AS (SELECT x.level, x.g0, x.g1, n.re * cos(l.theta) - n.im * sin(l.theta) AS re, n.re * sin(l.theta) + n.im * cos(l.theta) AS im FROM beside x JOIN mpsi n ON n.level = x.level AND n.g0 = o0 AND n.g1 = o1
+    JOIN mlinks l ON l.level = x.level AND l.g0 = x.g0 AND l.g1 = x.g1 AND l.mu = x.mu WHERE side = 1
+  UNION ALL SELECT x.level, x.g0, x.g1, n.re * cos(l.theta) + n.im * sin(l.theta), n.im * cos(l.theta) - n.re * sin(l.theta) FROM beside x JOIN mpsi n ON n.level = x.level AND n.g0 = o0 AND n.g1 = o1
+    JOIN mlinks l ON l.level = x.level AND l.g0 = x.o0 AND l.g1 = x.o1 AND l.mu = x.mu WHERE side = -1),
 lap AS (SELECT p.level, p.g0, p.g1, p.re, p.im, (coalesce(s.re, 0) - 4 * p.re) * pow(4, p.level) AS lr, (coalesce(s.im, 0) - 4 * p.im) * pow(4, p.level) AS li FROM mpsi p LEFT JOIN
   (SELECT level, g0, g1, sum(re) AS re, sum(im) AS im FROM (SELECT level, g0, g1, re, im FROM brought UNION ALL SELECT level, g0, g1, re, im FROM across) GROUP BY 1, 2, 3) s ON s.level = p.level AND s.g0 = p.g0 AND s.g1 = p.g1)"""
 

@@ -29,28 +29,28 @@ def global_coords(spark, sf_dir):
     return keyed.select("g0", "g1", back[0].cast("long").alias("r0"), back[1].cast("long").alias("r1"))
 
 
-_MORTON = " + ".join(f"(((g{d} >> {k}) & 1) << {2 * k + d})" for d in range(2) for k in range(5))
+_MORTON = " + ".join(f"(((g{d} >> {k}) & 1) << {2 * k + d})" for d in range(2) for k in range(12))
 
 
 @query("morton_encode", f"WITH {CELLS} SELECT g0, g1, CAST({_MORTON} AS BIGINT) AS morton FROM cells")
 def morton_encode(spark, sf_dir):
-    return cells(spark, sf_dir).select("g0", "g1", A.morton_encode(A.cols(SPEC.g), 5).alias("morton"))
+    return cells(spark, sf_dir).select("g0", "g1", A.morton_encode(A.cols(SPEC.g), 12).alias("morton"))
 
 
 @query("morton_decode_roundtrip", f"WITH {CELLS} SELECT CAST({_MORTON} AS BIGINT) AS morton, g0 AS d0, g1 AS d1 FROM cells")
 def morton_decode_roundtrip(spark, sf_dir):
     keyed = morton_encode(spark, sf_dir)
-    back = A.morton_decode(F.col("morton"), 2, 5)
+    back = A.morton_decode(F.col("morton"), 2, 12)
     return keyed.select("morton", back[0].alias("d0"), back[1].alias("d1"))
 
 
-@query("block_order", f"""WITH {MESH}, keyed AS (SELECT level, b0, b1, CAST({" + ".join(f"((((b{d} << (3 - level)) >> {k}) & 1) << {2 * k + d})" for d in range(2) for k in range(5))} AS BIGINT) AS morton FROM blocks)
+@query("block_order", f"""WITH {MESH}, keyed AS (SELECT level, b0, b1, CAST({" + ".join(f"((((b{d} << (3 - level)) >> {k}) & 1) << {2 * k + d})" for d in range(2) for k in range(12))} AS BIGINT) AS morton FROM blocks)
 SELECT level, b0, b1, morton, row_number() OVER (ORDER BY morton, level) - 1 AS rank FROM keyed""")
 def block_order(spark, sf_dir):
     return partition.ordered(mesh_blocks(spark, sf_dir), SPEC).select("level", "b0", "b1", "morton", F.col("rank").cast("long").alias("rank"))
 
 
-@query("block_key_compat", f"""WITH {MESH} SELECT level, b0, b1, CAST({" + ".join(f"((((b{d} << level) & ((1 << (2 + level)) - 1)) >> {k} & 1) << {2 * k + d})" for d in range(2) for k in range(12))} AS BIGINT) AS morton FROM blocks""")
+@query("block_key_compat", f"""WITH {MESH} SELECT level, b0, b1, CAST({" + ".join(f"((((b{d} << level) & ((1 << (CAST(log2({N} // {B}) AS INTEGER) + level)) - 1)) >> {k} & 1) << {2 * k + d})" for d in range(2) for k in range(12))} AS BIGINT) AS morton FROM blocks""")
 def block_key_compat(spark, sf_dir):
     return mesh_blocks(spark, sf_dir).select("level", "b0", "b1", A.block_morton_compat(SPEC).alias("morton"))
 
@@ -91,7 +91,7 @@ def wrap_periodic(spark, sf_dir):
     return cells(spark, sf_dir).select("g0", "g1", w[0].alias("w0"), w[1].alias("w1"))
 
 
-@query("wrap_open", f"WITH {CELLS} SELECT g0, g1, CASE WHEN g0 >= 5 THEN g0 - 5 END AS w0, CASE WHEN g1 < {N - 7} THEN g1 + 7 END AS w1 FROM cells")
+@query("wrap_open", f"WITH {CELLS} SELECT g0, g1, CASE WHEN g0 >= 5 THEN g0 - 5 END AS w0, CASE WHEN g1 < {N} - 7 THEN g1 + 7 END AS w1 FROM cells")
 def wrap_open(spark, sf_dir):
     w = A.wrap(OPEN, [F.col("g0") - 5, F.col("g1") + 7], F.col("level"))
     return cells(spark, sf_dir).select("g0", "g1", w[0].alias("w0"), w[1].alias("w1"))
@@ -109,7 +109,7 @@ def zero_level(spark, sf_dir):
 
 
 _BEYOND = f"""faces AS (SELECT * FROM (VALUES (0, 1, 0), (1, -1, 0), (2, 0, 1), (3, 0, -1)) f(face, dx, dy)),
-beyond AS (SELECT level, b0, b1, CAST(face AS INTEGER) AS face, dx, dy, (b0 + dx + (4 << level)) % (4 << level) AS p0, (b1 + dy + (4 << level)) % (4 << level) AS p1 FROM blocks, faces)"""
+beyond AS (SELECT level, b0, b1, CAST(face AS INTEGER) AS face, dx, dy, (b0 + dx + ({N} // {B} << level)) % ({N} // {B} << level) AS p0, (b1 + dy + ({N} // {B} << level)) % ({N} // {B} << level) AS p1 FROM blocks, faces)"""
 
 
 @query("neighbors_same_level", f"WITH {MESH}, {_BEYOND} SELECT x.level, x.b0, x.b1, x.face, n.b0 AS n0, n.b1 AS n1 FROM beyond x JOIN blocks n ON n.level = x.level AND n.b0 = p0 AND n.b1 = p1")
@@ -168,9 +168,9 @@ query("halo_fine_to_coarse", _halo_sql("finer"))(_halo(halo.FINER))
 
 
 def _sum_sql(open_: bool) -> str:
-    at = lambda dx, dy: f"(x.g0 + {dx} = n.g0 AND x.g1 + {dy} = n.g1)" if open_ else f"((x.g0 + {dx} + {N}) % {N} = n.g0 AND (x.g1 + {dy} + {N}) % {N} = n.g1)"
-    return f"""nb AS (SELECT x.level, x.g0, x.g1, x.u, sum(n.u) AS nb FROM cells x LEFT JOIN (SELECT g0, g1, u, dx, dy FROM cells, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) f(dx, dy)) n
-  ON {at("n.dx", "n.dy")} GROUP BY 1, 2, 3, 4)"""
+    at = lambda g, d: f"x.{g} + {d}" if open_ else f"(x.{g} + {d} + {N}) % {N}"
+    return f"""beside AS (SELECT x.level, x.g0, x.g1, x.u, {at("g0", "dx")} AS o0, {at("g1", "dy")} AS o1 FROM cells x, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) f(dx, dy)),
+nb AS (SELECT x.level, x.g0, x.g1, x.u, sum(n.u) AS nb FROM beside x LEFT JOIN cells n ON n.g0 = o0 AND n.g1 = o1 GROUP BY 1, 2, 3, 4)"""
 
 
 @query("laplacian_periodic", f"WITH {CELLS}, {_sum_sql(False)} SELECT level, g0, g1, u, nb - 4 * u AS lap FROM nb")
@@ -232,9 +232,30 @@ def refine_flags(spark, sf_dir):
     return adapt.refine_flags(stencil.block_gradient(plain(spark, sf_dir), SPEC), SPEC, 100.0)
 
 
-@query("coarsen_flags", f"WITH {GRADIENTS} SELECT level, b0, b1, grad, level > 0 AND grad < 50 AS coarsen FROM gradients")
+#: SQL: block gradients of the mesh of two levels.
+_MESH_GRADIENTS = f"""{MESH}, steep AS (SELECT x.level, x.g0 // {B} AS b0, x.g1 // {B} AS b1, max(greatest(abs(r.u - x.u), abs(t.u - x.u))) AS grad
+  FROM mesh x JOIN mesh r ON r.level = x.level AND r.g0 = x.g0 + 1 AND r.g1 = x.g1 JOIN mesh t ON t.level = x.level AND t.g0 = x.g0 AND t.g1 = x.g1 + 1
+  WHERE x.g0 % {B} BETWEEN 1 AND {B - 2} AND x.g1 % {B} BETWEEN 1 AND {B - 2} GROUP BY 1, 2, 3), middle AS (SELECT quantile_disc(grad, 0.5) AS m FROM steep WHERE level = 1)"""
+
+
+def _middle(spark, sf_dir):
+    """The mesh's block gradients, and the middle one of level 1 in a row of its own."""
+    grad = written(stencil.block_gradient(mesh(spark, sf_dir), SPEC))
+    return grad, grad.where("level = 1").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY grad)").alias("m"))
+
+
+@query("coarsen_flags", f"WITH {_MESH_GRADIENTS} SELECT level, b0, b1, grad, level > 0 AND grad < m AS coarsen FROM steep, middle")
 def coarsen_flags(spark, sf_dir):
-    return adapt.coarsen_flags(stencil.block_gradient(plain(spark, sf_dir), SPEC), 100.0, 0.5)
+    """On the mesh of two levels; flat is what lies below the middle gradient of level 1."""
+    grad, middle = _middle(spark, sf_dir)
+    return adapt.coarsen_flags(grad.crossJoin(F.broadcast(middle)), 2.0 * F.col("m"), 0.5).drop("m")
+
+
+@query("coarsenable", f"WITH {_MESH_GRADIENTS} SELECT level - 1 AS level, b0 // 2 AS b0, b1 // 2 AS b1 FROM steep, middle WHERE level > 0 AND grad < 1.25 * m GROUP BY 1, 2, 3 HAVING count(*) = 4")
+def coarsenable(spark, sf_dir):
+    """Parents all of whose children exist and are flatter than five quarters of the middle gradient of level 1."""
+    grad, middle = _middle(spark, sf_dir)
+    return adapt.coarsenable(grad.crossJoin(F.broadcast(middle)), SPEC, 2.5 * F.col("m"), 0.5)
 
 
 @query("refine_once", f"""WITH {GRADIENTS} SELECT c.level, c.g0, c.g1, c.u FROM cells c JOIN gradients s ON c.g0 // {B} = s.b0 AND c.g1 // {B} = s.b1 WHERE s.grad <= 100
@@ -257,7 +278,7 @@ def delete_blocks(spark, sf_dir):
 
 
 @query("balance_violations", f"""WITH {MESH}, jump AS (SELECT CAST(0 AS INTEGER) AS level, b0, b1 FROM blocks WHERE level = 0 UNION ALL SELECT CAST(2 AS INTEGER), 2 * b0 + kx.range, 2 * b1 + ky.range FROM blocks, range(2) kx, range(2) ky WHERE level = 1),
-beyond AS (SELECT (b0 + dx + 16) % 16 AS p0, (b1 + dy + 16) % 16 AS p1 FROM jump, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) f(dx, dy) WHERE level = 2)
+beyond AS (SELECT (b0 + dx + {N} // 2) % ({N} // 2) AS p0, (b1 + dy + {N} // 2) % ({N} // 2) AS p1 FROM jump, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) f(dx, dy) WHERE level = 2)
 SELECT level, b0, b1 FROM jump WHERE level = 0 AND (b0, b1) IN (SELECT p0 // 4, p1 // 4 FROM beyond)""")
 def balance_violations(spark, sf_dir):
     """On the mesh with its level 1 refined once more at one stroke."""
@@ -348,7 +369,7 @@ def entropy_weights(spark, sf_dir):
     return partition.entropy_weights(mesh(spark, sf_dir), SPEC, F.col("u") * F.col("u")).withColumn("weight", r6(F.col("weight")))
 
 
-@query("owners_contiguous", f"""WITH {MESH}, keyed AS (SELECT level, b0, b1, CAST({" + ".join(f"((((b{d} << (3 - level)) >> {k}) & 1) << {2 * k + d})" for d in range(2) for k in range(5))} AS BIGINT) AS morton FROM blocks)
+@query("owners_contiguous", f"""WITH {MESH}, keyed AS (SELECT level, b0, b1, CAST({" + ".join(f"((((b{d} << (3 - level)) >> {k}) & 1) << {2 * k + d})" for d in range(2) for k in range(12))} AS BIGINT) AS morton FROM blocks)
 SELECT level, b0, b1, CAST(ntile(5) OVER (ORDER BY morton, level) - 1 AS INTEGER) AS owner FROM keyed""")
 def owners_contiguous(spark, sf_dir):
     return partition.contiguous_owners(mesh_blocks(spark, sf_dir), SPEC, 5).select("level", "b0", "b1", "owner")
@@ -364,10 +385,19 @@ def balance_metrics(spark, sf_dir):
     return out.withColumns({c: r6(F.col(c)) for c in ("total_weight", "max_weight", "avg_weight", "weight_imbalance", "count_imbalance")})
 
 
-@query("owners_weighted")
+def _cut(k: int) -> str:
+    """SQL: the last block of owner k - 1 of four, and the sum up to it."""
+    start, used = ("0", "0") if k == 1 else (f"c{k - 1}.r + 1", f"c{k - 1}.u")
+    before = "" if k == 1 else f", c{k - 1}"
+    return f"c{k} AS (SELECT max(rank) AS r, max(upto) AS u FROM dealt, (SELECT count(*) AS n, sum(weight) AS w FROM dealt){before} WHERE rank >= {start} AND rank < greatest(n - {4 - k}, {start} + 1) AND (upto <= ({used} + (w - {used}) / {5 - k}) * (1 + 1e-12) OR rank = {start}))"
+
+
+@query("owners_weighted", f"""WITH {_WEIGHTS}, keyed AS (SELECT *, CAST({" + ".join(f"((((b{d} << (3 - level)) >> {k}) & 1) << {2 * k + d})" for d in range(2) for k in range(12))} AS BIGINT) AS morton FROM weights),
+dealt AS (SELECT *, row_number() OVER (ORDER BY morton, level) - 1 AS rank, sum(weight) OVER (ORDER BY morton, level ROWS UNBOUNDED PRECEDING) AS upto FROM keyed), {_cut(1)}, {_cut(2)}, {_cut(3)}
+SELECT level, b0, b1, {sql6('weight')} AS weight, CAST((rank > c1.r)::INT + (rank > c2.r)::INT + (rank > c3.r)::INT AS INTEGER) AS owner FROM dealt, c1, c2, c3""")
 def owners_weighted(spark, sf_dir):
     w = partition.entropy_weights(mesh(spark, sf_dir), SPEC, F.col("u") * F.col("u"))
-    return partition.weighted_owners(w, SPEC, 4).select("level", "b0", "b1", "weight", "owner")
+    return partition.weighted_owners(w, SPEC, 4).select("level", "b0", "b1", r6(F.col("weight")).alias("weight"), "owner")
 
 
 @query("knn_l2", f"""SELECT vec_id AS id, {sql6('sqrt(list_sum(list_transform(list_zip(embedding, q), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))))')} AS dist
@@ -385,8 +415,8 @@ def checkpoint_due_steps(spark, sf_dir):
     return spark.range(40).select(F.col("id").alias("step")).where(Schedule(interval=7, start=5).due(F.col("id")))
 
 
-@query("vector_totals", "SELECT label, count(*) AS n, round(avg(x), 6) + 0.0 AS mean, min(x) AS low, max(x) AS high, round(stddev_pop(x), 6) + 0.0 AS std FROM (SELECT label, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings) GROUP BY 1")
+@query("vector_totals", "SELECT label, count(*) AS n, round(avg(x), 6) + 0.0 AS mean, min(x) AS low, max(x) AS high, round(stddev_pop(x), 6) + 0.0 AS std FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY 1")
 def vector_totals(spark, sf_dir):
-    """Mean, extremes and population deviation, as benchmarks report them."""
-    x = table(spark, sf_dir, "embeddings").select("label", F.get("embedding", F.lit(0)).cast("double").alias("x"))
+    """Mean, extremes and population deviation over all components, as benchmarks report them."""
+    x = table(spark, sf_dir, "embeddings").select("label", F.explode("embedding").alias("x")).select("label", F.col("x").cast("double").alias("x"))
     return x.groupBy("label").agg(F.count("*").alias("n"), r6(F.avg("x")).alias("mean"), F.min("x").alias("low"), F.max("x").alias("high"), r6(F.stddev_pop("x")).alias("std"))

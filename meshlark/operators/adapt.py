@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshlark.functions import address as A
@@ -17,7 +17,7 @@ def refine_flags(gradients: DataFrame, spec: MeshSpec, threshold: float) -> Data
     return gradients.withColumn("refine", (F.col("level") < spec.max_level) & (F.col("grad") > threshold))
 
 
-def coarsen_flags(gradients: DataFrame, threshold: float, hysteresis: float) -> DataFrame:
+def coarsen_flags(gradients: DataFrame, threshold: float | Column, hysteresis: float) -> DataFrame:
     """Blocks with coarsen: above level 0 and flatter than threshold x hysteresis."""
     return gradients.withColumn("coarsen", (F.col("level") > 0) & (F.col("grad") < threshold * hysteresis))
 
@@ -32,7 +32,7 @@ def refine(cells: DataFrame, blocks: DataFrame, spec: MeshSpec, value: str | tup
     return kept.unionByName(prolongate(down, spec, value, preserve_norm).select("level", *spec.g, *named(value)))
 
 
-def coarsenable(gradients: DataFrame, spec: MeshSpec, threshold: float, hysteresis: float) -> DataFrame:
+def coarsenable(gradients: DataFrame, spec: MeshSpec, threshold: float | Column, hysteresis: float) -> DataFrame:
     """level and b0 ... of the parents whose children all exist and are all flat."""
     return complete_siblings(coarsen_flags(gradients, threshold, hysteresis).where("coarsen"), spec)
 

@@ -60,25 +60,24 @@ def weighted_owners(blocks: DataFrame, spec: MeshSpec, ranks: int) -> DataFrame:
     """blocks (level, b0 ..., weight) with morton, rank and owner: along the Morton order each owner takes blocks while the sum
     stays within its share of what is left, one at least, and leaves one for every later owner; the last takes the rest.
 
-    Every cut is one aggregation over the prefix sums; the driver sees one row an owner.
+    Every cut is one aggregation over the prefix sums, which are written in order of the ranks; the driver sees one row an owner.
     """
     found = blocks.agg(F.sum("weight").alias("w"), F.count("*").alias("n")).first()
     n = found["n"]
     usable = found["w"] is not None and 0 < found["w"] < float("inf")
-    rows = written(ordered(blocks.withColumn("_w", F.col("weight") if usable else F.lit(1.0)), spec, "_w"))
+    rows = written(ordered(blocks.withColumn("_w", F.col("weight") if usable else F.lit(1.0)), spec, "_w").orderBy("rank"))
     cuts, start, used, whole = [], 0, 0.0, found["w"] if usable else float(n)
     for k in range(ranks - 1):
         left = n - start
         if left <= 0:
             break
         keep = ranks - k - 1 if left >= ranks - k else 0
-        limit = used + (whole - used) / (ranks - k)
-        within = rows.where((F.col("rank") >= start) & (F.col("_w_upto") <= limit * (1 + 1e-12))).count()
-        end = min(start + max(within, 1), max(n - keep, start + 1))
-        used = rows.where(F.col("rank") == end - 1).first()["_w_upto"]
-        cuts.append(end)
-        start = end
-    owner = sum((F.when(F.col("rank") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+        limit, most = used + (whole - used) / (ranks - k), max(n - keep, start + 1)
+        taken = F.when((F.col("_w_upto") <= limit * (1 + 1e-12)) | (F.col("rank") == start), F.struct("rank", "_w_upto"))
+        end = rows.where((F.col("rank") >= start) & (F.col("rank") < most)).agg(F.max(taken).alias("m")).first()["m"]
+        start, used = end["rank"] + 1, end["_w_upto"]
+        cuts.append(start)
+    owner = F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in cuts)), lambda c: c <= F.col("rank"))) if cuts else F.lit(0)
     return rows.withColumn("owner", owner.cast("int")).drop("_w", "_w_upto")
 
 
