@@ -84,6 +84,11 @@ def haar(rng: np.random.Generator, rows: int, n: int) -> np.ndarray:
     return q / np.linalg.det(q)[..., None, None] ** (1 / n) if n > 1 else q
 
 
+def near_identity(rng: np.random.Generator, rows: int, n: int, spread: float) -> np.ndarray:
+    """exp of Gaussian algebra elements of that spread: unitary matrices, of determinant 1 for n > 1, about the identity."""
+    return expm(spread * to_algebra(rng.normal(size=(rows, n, n)) + 1j * rng.normal(size=(rows, n, n))))
+
+
 def _one(f):
     def run(a: pd.Series) -> pd.Series:
         return pack(f(unpack(a)))
@@ -163,3 +168,9 @@ def gammas() -> np.ndarray:
     """Gamma matrices 0 to 3 in the Dirac representation."""
     zero, one = np.zeros((2, 2)), np.eye(2)
     return np.array([np.block([[one, zero], [zero, -one]]).astype(complex), *(np.block([[zero, s], [-s, zero]]) for s in PAULI)])
+
+
+def gamma5() -> np.ndarray:
+    """i times the product of gamma matrices 0 to 3: it squares to one and anticommutes with each."""
+    g = gammas()
+    return 1j * g[0] @ g[1] @ g[2] @ g[3]

@@ -171,3 +171,20 @@ def denoise_step(rows: DataFrame, schedule: DataFrame, value: str = "x", predict
     out = rows.join(F.broadcast(schedule), "t")
     mean = (F.col(value) - F.col("beta") * F.col(predicted) / F.sqrt(1.0 - F.col("alpha_bar"))) / F.sqrt("alpha")
     return out.withColumn(value, F.when(F.col("t") == 0, mean).otherwise(mean + F.sqrt("posterior_variance") * F.col(noise))).select(*rows.columns)
+
+
+def sample(rows: DataFrame, steps: int, predict, value: str = "x", noise: str = "noise", first: float = 1e-4, last: float = 0.02) -> DataFrame:
+    """rows with the value denoised from step steps - 1 down to 0.
+
+    predict(x, t): the predicted noise as a column; noise: an array with one number a step. The schedule's few rows are
+    literals and the loop is a fold within each row, so nothing is shuffled or written between steps.
+    """
+    table = noise_schedule(rows.sparkSession, steps, first, last).orderBy("t").collect()
+    at = {c: F.array(*(F.lit(float(r[c])) for r in table)) for c in ("beta", "alpha", "alpha_bar", "posterior_variance")}
+
+    def back(x: Column, t: Column) -> Column:
+        s = {c: F.get(a, t) for c, a in at.items()}
+        mean = (x - s["beta"] * predict(x, t) / F.sqrt(1.0 - s["alpha_bar"])) / F.sqrt(s["alpha"])
+        return F.when(t == 0, mean).otherwise(mean + F.sqrt(s["posterior_variance"]) * F.get(noise, t))
+
+    return rows.withColumn(value, F.aggregate(F.sequence(F.lit(steps - 1), F.lit(0), F.lit(-1)), F.col(value), back))

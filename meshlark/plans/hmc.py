@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshlark.functions import matrices as M
@@ -47,3 +47,17 @@ def hmc_step(links: DataFrame, spec: MeshSpec, n: int, beta: float, dt: float, s
     delta = hamiltonian(new, moved, spec, n, beta) - before
     accepted = delta <= 0 or np.random.default_rng(seed).random() < math.exp(-delta)
     return (new if accepted else links), {"accepted": accepted, "delta": delta}
+
+
+def gradient_check(links: DataFrame, spec: MeshSpec, n: int, beta: float, at: Column, direction: np.ndarray, step: float = 1e-4) -> tuple[float, float]:
+    """(central difference, from the force): the derivative of the action as the links at `at` turn along an algebra element."""
+
+    def turned(sign: float) -> DataFrame:
+        turn = F.array(*(F.lit(float(x)) for x in M.pack(M.expm(sign * step * direction[None]))[0]))
+        return links.withColumn("u", F.when(at, M.product(turn, F.col("u"))).otherwise(F.col("u")))
+
+    up, down = (special_unitary.wilson_action(turned(s), spec, n, beta).first()[0] for s in (1.0, -1.0))
+    f = special_unitary.forces(links, spec, n, beta).where(at)
+    along = F.array(*(F.lit(float(x)) for x in M.pack(direction[None])[0]))
+    dot = F.aggregate(F.zip_with("f", along, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return (up - down) / (2 * step), -n * f.agg(F.coalesce(F.sum(dot), F.lit(0.0))).first()[0]
