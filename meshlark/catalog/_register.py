@@ -53,7 +53,7 @@ SPEC, OPEN = _Scaled(True), _Scaled(False)
 #: SQL: the lattice.
 CELLS = f"""{SIZE}, spine AS (SELECT CAST(a.range AS BIGINT) AS g0, CAST(b.range AS BIGINT) AS g1 FROM (SELECT unnest(range({N})) AS range) a, (SELECT unnest(range({N})) AS range) b),
 sums AS (SELECT l_partkey % {N} AS g0, l_suppkey % {N} AS g1, sum(l_quantity) AS u, count(*) AS c FROM lineitem GROUP BY 1, 2),
-cells AS (SELECT CAST(0 AS INTEGER) AS level, s.g0, s.g1, CAST(coalesce(x.u, 0) AS DOUBLE) AS u, CAST(coalesce(x.c, 0) AS BIGINT) AS c
+cells AS MATERIALIZED (SELECT CAST(0 AS INTEGER) AS level, s.g0, s.g1, CAST(coalesce(x.u, 0) AS DOUBLE) AS u, CAST(coalesce(x.c, 0) AS BIGINT) AS c
   FROM spine s LEFT JOIN sums x ON s.g0 = x.g0 AND s.g1 = x.g1)"""
 #: SQL: block gradients of the lattice, and the mesh of two levels: steep blocks refined, their cells told apart.
 GRADIENTS = f"""{CELLS},
@@ -62,12 +62,17 @@ gradients AS (SELECT CAST(0 AS INTEGER) AS level, x.g0 // {B} AS b0, x.g1 // {B}
   WHERE x.g0 % {B} BETWEEN 1 AND {B - 2} AND x.g1 % {B} BETWEEN 1 AND {B - 2} GROUP BY 2, 3)"""
 MESH = f"""{GRADIENTS},
 mean_grad AS (SELECT avg(grad) AS m FROM gradients),
-mesh AS (SELECT c.level, c.g0, c.g1, c.u FROM cells c JOIN gradients s ON c.g0 // {B} = s.b0 AND c.g1 // {B} = s.b1 WHERE s.grad <= (SELECT m FROM mean_grad)
+mesh AS MATERIALIZED (SELECT c.level, c.g0, c.g1, c.u FROM cells c JOIN gradients s ON c.g0 // {B} = s.b0 AND c.g1 // {B} = s.b1 WHERE s.grad <= (SELECT m FROM mean_grad)
   UNION ALL SELECT CAST(1 AS INTEGER), 2 * c.g0 + kx.range, 2 * c.g1 + ky.range, c.u + kx.range + 2 * ky.range
   FROM cells c JOIN gradients s ON c.g0 // {B} = s.b0 AND c.g1 // {B} = s.b1, range(2) kx, range(2) ky WHERE s.grad > (SELECT m FROM mean_grad)),
 blocks AS (SELECT DISTINCT level, g0 // {B} AS b0, g1 // {B} AS b1 FROM mesh)"""
 
 
+def key(level: str, g0: str, g1: str) -> str:
+    """SQL: one number for a cell, so that joins of three tables go by whole keys and not by their levels first."""
+    return f"((CAST({level} AS BIGINT) * 1048576 + {g0}) * 1048576 + {g1})"
+
+
 def query(name: str, sql: str | None = None):
     def put(f: Callable[[SparkSession, str], DataFrame]):
         @functools.wraps(f)

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from meshlark.catalog._register import B, CELLS, MESH, N, SPEC, cells, mesh, query, r6, sql6
+from meshlark.catalog._register import B, CELLS, MESH, N, SPEC, cells, key, mesh, query, r6, sql6
 from meshlark.functions import address as A
 from meshlark.operators import gauge, transfer
 
@@ -117,9 +117,9 @@ def link_restrict_face(spark, sf_dir):
 
 
 #: SQL: links on the mesh of two levels, and the rim of its blocks.
-MESH_LINKS = f"""{MESH}, mlinks AS (SELECT level, g0, g1, CAST(m.range AS INTEGER) AS mu, ((3 * g0 + 5 * m.range + 2 * g1 + level) % 8 + 0.5) / 8 AS theta FROM mesh, range(2) m),
+MESH_LINKS = f"""{MESH}, mlinks AS MATERIALIZED (SELECT level, g0, g1, CAST(m.range AS INTEGER) AS mu, ((3 * g0 + 5 * m.range + 2 * g1 + level) % 8 + 0.5) / 8 AS theta FROM mesh, range(2) m),
 faces AS (SELECT * FROM (VALUES (0, 1, 0), (1, -1, 0), (2, 0, 1), (3, 0, -1)) f(face, dx, dy)),
-rim AS (SELECT level, g0, g1, g0 // {B} AS b0, g1 // {B} AS b1, CAST(face AS INTEGER) AS face, CAST(CASE WHEN face < 2 THEN g1 % {B} ELSE g0 % {B} END AS INTEGER) AS face_idx,
+rim AS MATERIALIZED (SELECT level, g0, g1, g0 // {B} AS b0, g1 // {B} AS b1, CAST(face AS INTEGER) AS face, CAST(CASE WHEN face < 2 THEN g1 % {B} ELSE g0 % {B} END AS INTEGER) AS face_idx,
   (g0 + dx + ({N} << level)) % ({N} << level) AS o0, (g1 + dy + ({N} << level)) % ({N} << level) AS o1 FROM mesh, faces
   WHERE CASE face WHEN 0 THEN g0 % {B} = {B - 1} WHEN 1 THEN g0 % {B} = 0 WHEN 2 THEN g1 % {B} = {B - 1} ELSE g1 % {B} = 0 END)"""
 _LINK_HALO = f"""same AS (SELECT x.level, b0, b1, face, face_idx, l.mu, l.theta FROM rim x JOIN mlinks l ON l.level = x.level AND l.g0 = o0 AND l.g1 = o1),
@@ -148,13 +148,17 @@ def synced_links_u1(spark, sf_dir):
     return gauge.synced_links(m, mesh_links(m).where("(g0 + g1) % 3 > 0"), SPEC)
 
 
-_ACROSS = f"""{MESH_LINKS}, mpsi AS (SELECT level, g0, g1, u AS re, (u * 3 + g0) % 7 AS im FROM mesh),
-ghosts AS (SELECT x.level, x.g0, x.g1, face, 'fine' AS side, n.re, n.im, CASE WHEN face % 2 = 0 THEN o.theta ELSE -k.theta END AS a FROM rim x JOIN mpsi n ON n.level = x.level - 1 AND n.g0 = o0 // 2 AND n.g1 = o1 // 2
-    JOIN mlinks o ON o.level = x.level AND o.g0 = x.g0 AND o.g1 = x.g1 AND o.mu = face // 2 JOIN mlinks k ON k.level = n.level AND k.g0 = n.g0 AND k.g1 = n.g1 AND k.mu = face // 2
-  UNION ALL SELECT x.level, x.g0, x.g1, face, 'coarse', avg(n.re), avg(n.im), CASE WHEN face % 2 = 0 THEN o.theta ELSE 0.0 END FROM rim x JOIN mpsi n ON n.level = x.level + 1 AND n.g0 // 2 = o0 AND n.g1 // 2 = o1
-    JOIN mlinks o ON o.level = x.level AND o.g0 = x.g0 AND o.g1 = x.g1 AND o.mu = face // 2
+def _link(alias: str) -> str:
+    return f"{key(f'{alias}.level', f'{alias}.g0', f'{alias}.g1')} * 2 + {alias}.mu"
+
+
+_ACROSS = f"""{MESH_LINKS}, mpsi AS MATERIALIZED (SELECT level, g0, g1, u AS re, (u * 3 + g0) % 7 AS im FROM mesh),
+ghosts AS MATERIALIZED (SELECT x.level, x.g0, x.g1, face, 'fine' AS side, n.re, n.im, CASE WHEN face % 2 = 0 THEN o.theta ELSE -k.theta END AS a FROM rim x JOIN mpsi n ON {key("n.level", "n.g0", "n.g1")} = {key("x.level - 1", "o0 // 2", "o1 // 2")}
+    JOIN mlinks o ON {_link("o")} = {key("x.level", "x.g0", "x.g1")} * 2 + face // 2 JOIN mlinks k ON {_link("k")} = {key("x.level - 1", "o0 // 2", "o1 // 2")} * 2 + face // 2
+  UNION ALL SELECT x.level, x.g0, x.g1, face, 'coarse', avg(n.re), avg(n.im), CASE WHEN face % 2 = 0 THEN o.theta ELSE 0.0 END FROM rim x JOIN mpsi n ON {key("n.level", "n.g0 // 2", "n.g1 // 2")} = {key("x.level + 1", "o0", "o1")}
+    JOIN mlinks o ON {_link("o")} = {key("x.level", "x.g0", "x.g1")} * 2 + face // 2
     WHERE CASE face WHEN 0 THEN n.g0 % 2 = 0 WHEN 1 THEN n.g0 % 2 = 1 WHEN 2 THEN n.g1 % 2 = 0 ELSE n.g1 % 2 = 1 END GROUP BY x.level, x.g0, x.g1, face, o.theta),
-across AS (SELECT g.level, g.g0, g.g1, face, side, g.re * cos(a) - g.im * sin(a) AS re, g.re * sin(a) + g.im * cos(a) AS im, p.re AS own_re, p.im AS own_im FROM ghosts g JOIN mpsi p ON p.level = g.level AND p.g0 = g.g0 AND p.g1 = g.g1)"""
+across AS (SELECT g.level, g.g0, g.g1, face, side, g.re * cos(a) - g.im * sin(a) AS re, g.re * sin(a) + g.im * cos(a) AS im, p.re AS own_re, p.im AS own_im FROM ghosts g JOIN mpsi p ON {key('p.level', 'p.g0', 'p.g1')} = {key('g.level', 'g.g0', 'g.g1')})"""
 
 
 def mesh_psi(m):
@@ -171,10 +175,10 @@ def cov_face_fluxes_u1(spark, sf_dir):
 
 _SAME_LEVEL = f"""dirs AS (SELECT * FROM (VALUES (0, 1, 1, 0), (0, -1, -1, 0), (1, 1, 0, 1), (1, -1, 0, -1)) f(mu, side, dx, dy)),
 beside AS (SELECT p.level, p.g0, p.g1, mu, side, (p.g0 + dx + ({N} << p.level)) % ({N} << p.level) AS o0, (p.g1 + dy + ({N} << p.level)) % ({N} << p.level) AS o1 FROM mpsi p, dirs),
-brought AS (SELECT x.level, x.g0, x.g1, n.re * cos(l.theta) - n.im * sin(l.theta) AS re, n.re * sin(l.theta) + n.im * cos(l.theta) AS im FROM beside x JOIN mpsi n ON n.level = x.level AND n.g0 = o0 AND n.g1 = o1
-    JOIN mlinks l ON l.level = x.level AND l.g0 = x.g0 AND l.g1 = x.g1 AND l.mu = x.mu WHERE side = 1
-  UNION ALL SELECT x.level, x.g0, x.g1, n.re * cos(l.theta) + n.im * sin(l.theta), n.im * cos(l.theta) - n.re * sin(l.theta) FROM beside x JOIN mpsi n ON n.level = x.level AND n.g0 = o0 AND n.g1 = o1
-    JOIN mlinks l ON l.level = x.level AND l.g0 = x.o0 AND l.g1 = x.o1 AND l.mu = x.mu WHERE side = -1),
+brought AS (SELECT x.level, x.g0, x.g1, n.re * cos(l.theta) - n.im * sin(l.theta) AS re, n.re * sin(l.theta) + n.im * cos(l.theta) AS im FROM beside x JOIN mpsi n ON {key("n.level", "n.g0", "n.g1")} = {key("x.level", "o0", "o1")}
+    JOIN mlinks l ON {_link("l")} = {key("x.level", "x.g0", "x.g1")} * 2 + x.mu WHERE side = 1
+  UNION ALL SELECT x.level, x.g0, x.g1, n.re * cos(l.theta) + n.im * sin(l.theta), n.im * cos(l.theta) - n.re * sin(l.theta) FROM beside x JOIN mpsi n ON {key("n.level", "n.g0", "n.g1")} = {key("x.level", "o0", "o1")}
+    JOIN mlinks l ON {_link("l")} = {key("x.level", "o0", "o1")} * 2 + x.mu WHERE side = -1),
 lap AS (SELECT p.level, p.g0, p.g1, p.re, p.im, (coalesce(s.re, 0) - 4 * p.re) * pow(4, p.level) AS lr, (coalesce(s.im, 0) - 4 * p.im) * pow(4, p.level) AS li FROM mpsi p LEFT JOIN
   (SELECT level, g0, g1, sum(re) AS re, sum(im) AS im FROM (SELECT level, g0, g1, re, im FROM brought UNION ALL SELECT level, g0, g1, re, im FROM across) GROUP BY 1, 2, 3) s ON s.level = p.level AND s.g0 = p.g0 AND s.g1 = p.g1)"""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meshlark.catalog._register import B, CELLS, GRADIENTS, MESH, N, OPEN, SPEC, cells, mesh, mesh_blocks, plain, query, r6, sql6, table
+from meshlark.catalog._register import B, CELLS, GRADIENTS, MESH, N, OPEN, SPEC, cells, key, mesh, mesh_blocks, plain, query, r6, sql6, table
 from meshlark.functions import address as A
 from meshlark.operators import adapt, flux, halo, knn, measure, neighbors, partition, stencil, transfer
 from meshlark.operators._common import written
@@ -234,7 +234,7 @@ def refine_flags(spark, sf_dir):
 
 #: SQL: block gradients of the mesh of two levels.
 _MESH_GRADIENTS = f"""{MESH}, steep AS (SELECT x.level, x.g0 // {B} AS b0, x.g1 // {B} AS b1, max(greatest(abs(r.u - x.u), abs(t.u - x.u))) AS grad
-  FROM mesh x JOIN mesh r ON r.level = x.level AND r.g0 = x.g0 + 1 AND r.g1 = x.g1 JOIN mesh t ON t.level = x.level AND t.g0 = x.g0 AND t.g1 = x.g1 + 1
+  FROM mesh x JOIN mesh r ON {key('r.level', 'r.g0', 'r.g1')} = {key('x.level', 'x.g0 + 1', 'x.g1')} JOIN mesh t ON {key('t.level', 't.g0', 't.g1')} = {key('x.level', 'x.g0', 'x.g1 + 1')}
   WHERE x.g0 % {B} BETWEEN 1 AND {B - 2} AND x.g1 % {B} BETWEEN 1 AND {B - 2} GROUP BY 1, 2, 3), middle AS (SELECT quantile_disc(grad, 0.5) AS m FROM steep WHERE level = 1)"""
 
 
