@@ -64,6 +64,15 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def forget_tables(spark: SparkSession) -> None:
+    """Deletes all that the operators have stored in the shared folder, and their tables in the catalog: for when their results are written."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("meshlark_"):
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/meshlark-tables")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

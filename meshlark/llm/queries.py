@@ -27,23 +27,28 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per piece of all documents: doc_id, piece, start, length, ids_crc32 and its place, sequence_id and offset. Nulls count as empty texts."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, size, source_size, target and taken. A null source is one of its own; a null text has size 0."""
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the base counts, base_failed and kept. A null text has no words and fails."""
     out = quality.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, fingerprint and component_id. Null and blank texts share fingerprint zero."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op6_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: page_id, url, text and n_chars of its article; a null page has none."""
     return html.extract(table(spark, sf_dir, "pages"))
 
 
@@ -60,14 +65,17 @@ def op7_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_recurring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_words, n_removed and kept_sha256; a null text has no words."""
     return phrases.recurring_words(table(spark, sf_dir, "documents"))
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per query (vec_id divisible by 100): its ten best candidates. Vectors that are null or hold null, NaN or infinity take no part."""
     return topk.top_k(topk.integer_vectors(table(spark, sf_dir, "embeddings")), F.col("id") % 100 == 0)
 
 
 def op10_recurring_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans and kept_sha256; a null text has no bytes."""
     return suffixes.recurring_bytes(table(spark, sf_dir, "documents"))
 
 

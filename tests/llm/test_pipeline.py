@@ -76,3 +76,17 @@ def test_whole_run(spark, sf_dir):
     for r in out:
         full[r["sequence_id"]] += r["length"]
     assert max(full.values()) <= 4096
+
+
+def test_tables_are_forgotten(spark, docs):
+    """Last in this module: nothing that was stored before can be read any more."""
+    from meshlark.llm import phrases
+    from meshlark.llm._common import forget_tables, stored
+
+    phrases.recurring_words(docs).count()
+    table = stored(docs.select("doc_id"))
+    assert any(t.name.startswith("meshlark_") for t in spark.catalog.listTables())
+    forget_tables(spark)
+    assert not any(t.name.startswith("meshlark_") for t in spark.catalog.listTables())
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
