@@ -27,6 +27,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def merged(table: DataFrame) -> DataFrame:
+    """A table of cells or links as one side of a join: never broadcast.
+
+    Spark guesses its size from packed files and leaves out what explode adds, so it would send whole lattices through the driver.
+    """
+    return table.hint("merge")
+
+
 def moved(spec: MeshSpec, d: int, by: int, level: Column | None = None) -> list[Column]:
     """Cell coordinates moved along a dimension and wrapped, with their names; null beyond an open boundary."""
     g = A.cols(spec.g)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshlark.functions import address as A
-from meshlark.operators._common import moved
+from meshlark.operators._common import merged, moved
 from meshlark.operators.measure import norm_squared
 from meshlark.spec import MeshSpec
 
@@ -65,7 +65,7 @@ def staples(links: DataFrame, spec: MeshSpec) -> DataFrame:
         for of, at, sign in ((m, here, 1.0), (n, here, -1.0), (m, moved(spec, n, 1), -1.0), (n, moved(spec, m, 1), 1.0)):
             sent.append(F.when((F.col("mu") == m) & (F.col("nu") == n), F.struct(*at, F.lit(of).alias("mu"), F.cos("angle").alias("c"), (sign * F.sin("angle")).alias("s"))))
     rows = plaquettes(links, spec).select("level", F.explode(F.filter(F.array(*sent), lambda x: x.isNotNull())).alias("t")).select("level", "t.*").where(A.inside(A.cols(spec.g)))
-    loops = rows.groupBy("level", *spec.g, "mu").agg(F.sum("c").alias("c"), F.sum("s").alias("s")).join(links.select("level", *spec.g, "mu", "theta"), ["level", *spec.g, "mu"])
+    loops = rows.groupBy("level", *spec.g, "mu").agg(F.sum("c").alias("c"), F.sum("s").alias("s")).join(merged(links.select("level", *spec.g, "mu", "theta")), ["level", *spec.g, "mu"])
     re = F.col("c") * F.cos("theta") + F.col("s") * F.sin("theta")
     return loops.select("level", *spec.g, "mu", re.alias("re"), (F.col("s") * F.cos("theta") - F.col("c") * F.sin("theta")).alias("im"))
 
@@ -77,7 +77,7 @@ def transported(psi: DataFrame, links: DataFrame, spec: MeshSpec) -> DataFrame:
         kinds.append(F.struct(*moved(spec, m, -1), F.lit(m).alias("mu"), F.lit(1).alias("side")))  # the link begins at the target
         kinds.append(F.struct(*(F.col(g).alias(g) for g in spec.g), F.lit(m).alias("mu"), F.lit(-1).alias("side")))  # at the sender
     rows = psi.select("level", F.explode(F.array(*kinds)).alias("k"), "re", "im").select("level", "k.*", "re", "im").where(A.inside(A.cols(spec.g)))
-    linked = rows.join(links.select("level", *spec.g, "mu", "theta"), ["level", *spec.g, "mu"], "left")
+    linked = rows.join(merged(links.select("level", *spec.g, "mu", "theta")), ["level", *spec.g, "mu"], "left")
     angle = F.coalesce("theta", F.lit(0.0)) * F.col("side")
     turned = linked.select("level", *spec.g, "mu", "side", (F.col("re") * F.cos(angle) - F.col("im") * F.sin(angle)).alias("re"), (F.col("re") * F.sin(angle) + F.col("im") * F.cos(angle)).alias("im"))
     step = lambda d: F.when((F.col("side") == -1) & (F.col("mu") == d), 1).otherwise(0)
@@ -103,7 +103,7 @@ def transported_across(psi: DataFrame, links: DataFrame, spec: MeshSpec) -> Data
     places = [F.when(back, A.shr(c, 1)).otherwise(F.col(g)).alias(f"l{d}") for d, (c, g) in enumerate(zip(below, spec.g, strict=True))]
     keys = ["l_level", *(f"l{d}" for d in range(spec.nd)), "mu"]
     there = links.select(F.col("level").alias("l_level"), *(F.col(g).alias(f"l{d}") for d, g in enumerate(spec.g)), "mu", "theta")
-    found = ghosts.select("*", at_level.alias("l_level"), *places).join(there, keys, "left")
+    found = ghosts.select("*", at_level.alias("l_level"), *places).join(merged(there), keys, "left")
     angle = F.coalesce("theta", F.lit(0.0)) * F.col("side")
     re, im = F.col("u.re"), F.col("u.im")
     return found.select("level", *spec.g, "face", "kind", "mu", "side", (re * F.cos(angle) - im * F.sin(angle)).alias("re"), (re * F.sin(angle) + im * F.cos(angle)).alias("im"), F.col("own.re").alias("own_re"), F.col("own.im").alias("own_im"))
@@ -177,7 +177,7 @@ def link_halo(links: DataFrame, spec: MeshSpec, blocks: DataFrame) -> DataFrame:
     is_normal = F.col("mu") == F.floor(F.col("face") / 2)
     mean = F.atan2(F.avg(F.when(is_normal, F.sin("theta"))), F.avg(F.when(is_normal, F.cos("theta"))))
     per = sent.groupBy("level", *o, "face", "mu").agg(F.when(F.first("mu") == F.floor(F.first("face") / 2), mean).otherwise(F.sum(F.when(corner == 0, F.col("theta")))).alias("theta"), F.count(along).alias("_n")).drop("_n")
-    return out.unionByName(rim(blocks_cells(wide, spec), spec).join(per, ["level", *o, "face"]).select("level", *spec.b, "face", "face_idx", "mu", "theta")).join(blocks.select("level", *spec.b), ["level", *spec.b], "left_semi")
+    return out.unionByName(rim(blocks_cells(wide, spec), spec).join(merged(per), ["level", *o, "face"]).select("level", *spec.b, "face", "face_idx", "mu", "theta")).join(blocks.select("level", *spec.b), ["level", *spec.b], "left_semi")
 
 
 def blocks_cells(df: DataFrame, spec: MeshSpec) -> DataFrame:
@@ -187,7 +187,7 @@ def blocks_cells(df: DataFrame, spec: MeshSpec) -> DataFrame:
 def synced_links(cells: DataFrame, links: DataFrame, spec: MeshSpec) -> DataFrame:
     """A link in each direction at each cell: the given one, or the identity where there is none."""
     every = cells.select("level", *spec.g, F.explode(F.array(*(F.lit(m) for m in range(spec.nd)))).alias("mu"))
-    return every.join(links.select("level", *spec.g, "mu", "theta"), ["level", *spec.g, "mu"], "left").withColumn("theta", F.coalesce("theta", F.lit(0.0)))
+    return every.join(merged(links.select("level", *spec.g, "mu", "theta")), ["level", *spec.g, "mu"], "left").withColumn("theta", F.coalesce("theta", F.lit(0.0)))
 
 
 def coulomb(alpha: float, soft: Column, center: tuple[float, ...] | None = None):

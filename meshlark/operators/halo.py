@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshlark.functions import address as A
+from meshlark.operators._common import merged
 from meshlark.spec import MeshSpec
 
 #: How a ghost came about.
@@ -62,7 +63,7 @@ def halo(cells: DataFrame, spec: MeshSpec, value: str = "u", kinds: tuple[str, .
     up = F.struct((F.col("level") - 1).alias("k_level"), *(c.alias(k) for c, k in zip(looked, keys, strict=True)), F.lit(True).alias("_up"))
     wanted = F.array(*([same] if SAME in kinds or FINER in kinds else []), *([F.when(F.col("level") > 0, up)] if COARSER in kinds else []))
     lookups = edge.select("*", F.explode(F.filter(wanted, lambda x: x.isNotNull())).alias("k")).select("*", "k.*").drop("k", *(f"o{d}" for d in range(spec.nd)))
-    found = lookups.join(offers, ["k_level", *keys])
+    found = lookups.join(merged(offers), ["k_level", *keys])
     ghosts = [F.when(F.col("_up"), F.struct(prolong(F.col("_own")).alias("v"), F.lit(COARSER).alias("kind")))] if COARSER in kinds else []
     if SAME in kinds:
         ghosts.append(F.when(~F.col("_up"), F.struct(F.col("_own").alias("v"), F.lit(SAME).alias("kind"))))
