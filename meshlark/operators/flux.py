@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlark.functions import address as A
+from meshlark.operators._common import merged
 from meshlark.operators.halo import COARSER, FINER, halo
 from meshlark.spec import MeshSpec
 
@@ -37,5 +38,5 @@ def flux_register(fluxes: DataFrame, spec: MeshSpec, scale: float = 1.0, flux: s
 def reflux(cells: DataFrame, register: DataFrame, spec: MeshSpec, value: str = "u") -> DataFrame:
     """cells with r over the cell volume subtracted at + faces and added at - faces."""
     signed = register.select("level", *spec.g, F.when(F.col("face") % 2 == 0, -F.col("r")).otherwise(F.col("r")).alias("r")).groupBy("level", *spec.g).agg(F.sum("r").alias("_r"))
-    out = cells.join(signed, ["level", *spec.g], "left")
+    out = cells.join(merged(signed), ["level", *spec.g], "left")
     return out.withColumn(value, F.col(value) + F.coalesce("_r", F.lit(0.0)) / A.cell_volume(spec)).drop("_r")

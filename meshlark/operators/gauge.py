@@ -121,13 +121,19 @@ def covariant_face_fluxes(psi: DataFrame, links: DataFrame, spec: MeshSpec, scal
 
 def covariant_laplacian(psi: DataFrame, links: DataFrame, spec: MeshSpec, levels: bool = False) -> DataFrame:
     """psi's cells with re, im of [sum of transported neighbours - 2 nd psi] / h^2; levels: also over faces between levels."""
+    return beside_laplacian(psi, links, spec, levels).select("level", *spec.g, F.col("_re").alias("re"), F.col("_im").alias("im"))
+
+
+def beside_laplacian(psi: DataFrame, links: DataFrame, spec: MeshSpec, levels: bool = False) -> DataFrame:
+    """psi's cells with their own re, im and, as _re, _im, the covariant Laplacian: one aggregation, no join of the two."""
     h = A.spacing(spec)
-    own = psi.select("level", *spec.g, (-2.0 * spec.nd * F.col("re")).alias("re"), (-2.0 * spec.nd * F.col("im")).alias("im"), F.lit(True).alias("own"))
-    every = own.unionByName(transported(psi, links, spec).select("level", *spec.g, "re", "im", F.lit(False).alias("own")))
+    none = [F.lit(None).cast("double").alias(f"own_{c}") for c in ("re", "im")]
+    own = psi.select("level", *spec.g, *((-2.0 * spec.nd * F.col(c)).alias(c) for c in ("re", "im")), *(F.col(c).alias(f"own_{c}") for c in ("re", "im")), F.lit(True).alias("own"))
+    every = own.unionByName(transported(psi, links, spec).select("level", *spec.g, "re", "im", *none, F.lit(False).alias("own")))
     if levels:
-        every = every.unionByName(transported_across(psi, links, spec).select("level", *spec.g, "re", "im", F.lit(False).alias("own")))
-    out = every.groupBy("level", *spec.g).agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.max("own").alias("own")).where("own")
-    return out.select("level", *spec.g, (F.col("re") / (h * h)).alias("re"), (F.col("im") / (h * h)).alias("im"))
+        every = every.unionByName(transported_across(psi, links, spec).select("level", *spec.g, "re", "im", *none, F.lit(False).alias("own")))
+    out = every.groupBy("level", *spec.g).agg(*(F.sum(c).alias(c) for c in ("re", "im")), *(F.max(f"own_{c}").alias(f"own_{c}") for c in ("re", "im")), F.max("own").alias("own")).where("own")
+    return out.select("level", *spec.g, *(F.col(f"own_{c}").alias(c) for c in ("re", "im")), *((F.col(c) / (h * h)).alias(f"_{c}") for c in ("re", "im")))
 
 
 def covariant_derivative(psi: DataFrame, links: DataFrame, spec: MeshSpec) -> DataFrame:
@@ -138,14 +144,18 @@ def covariant_derivative(psi: DataFrame, links: DataFrame, spec: MeshSpec) -> Da
 
 def hamiltonian(psi: DataFrame, links: DataFrame, spec: MeshSpec, mass: float, potential: Column, levels: bool = False) -> DataFrame:
     """psi's cells with re, im of H psi = -lap / 2m + V psi. potential: an expression on level and g0 ..."""
-    lap = covariant_laplacian(psi, links, spec, levels).withColumnsRenamed({"re": "_re", "im": "_im"})
-    out = psi.join(lap, ["level", *spec.g])
-    return out.select("level", *spec.g, *((-F.col(f"_{c}") / (2.0 * mass) + potential * F.col(c)).alias(c) for c in ("re", "im")))
+    return beside_hamiltonian(psi, links, spec, mass, potential, levels).select("level", *spec.g, F.col("_re").alias("re"), F.col("_im").alias("im"))
+
+
+def beside_hamiltonian(psi: DataFrame, links: DataFrame, spec: MeshSpec, mass: float, potential: Column, levels: bool = False) -> DataFrame:
+    """psi's cells with their own re, im and, as _re, _im, H psi."""
+    out = beside_laplacian(psi, links, spec, levels)
+    return out.withColumns({f"_{c}": -F.col(f"_{c}") / (2.0 * mass) + potential * F.col(c) for c in ("re", "im")})
 
 
 def energy(psi: DataFrame, h_psi: DataFrame, spec: MeshSpec, normalize: bool = True) -> DataFrame:
     """energy: Re <psi, H psi> over <psi, psi>, 0 without a norm; not divided if normalize is off."""
-    both = psi.join(h_psi.withColumnsRenamed({"re": "_re", "im": "_im"}), ["level", *spec.g])
+    both = psi.join(merged(h_psi.withColumnsRenamed({"re": "_re", "im": "_im"})), ["level", *spec.g])
     v = A.cell_volume(spec)
     sums = both.agg(F.sum((F.col("re") * F.col("_re") + F.col("im") * F.col("_im")) * v).alias("e"), F.sum((F.col("re") * F.col("re") + F.col("im") * F.col("im")) * v).alias("n"))
     return sums.select((F.when(F.col("n") > 0, F.col("e") / F.col("n")).otherwise(0.0) if normalize else F.coalesce("e", F.lit(0.0))).alias("energy"))

@@ -18,8 +18,12 @@ from meshlark.spec import MeshSpec
 
 def imaginary_step(psi: DataFrame, links: DataFrame, spec: MeshSpec, mass: float, potential: Column, dt: float) -> DataFrame:
     """psi - dt H psi."""
-    h = gauge.hamiltonian(psi, links, spec, mass, potential).withColumnsRenamed({"re": "_re", "im": "_im"})
-    return psi.join(h, ["level", *spec.g]).select("level", *spec.g, *((F.col(c) - dt * F.col(f"_{c}")).alias(c) for c in ("re", "im")))
+    return _stepped(gauge.beside_hamiltonian(psi, links, spec, mass, potential), spec, dt)
+
+
+def _stepped(both: DataFrame, spec: MeshSpec, dt: float) -> DataFrame:
+    """psi - dt H psi from psi and H psi side by side."""
+    return both.select("level", *spec.g, *((F.col(c) - dt * F.col(f"_{c}")).alias(c) for c in ("re", "im")))
 
 
 def normalize(psi: DataFrame, spec: MeshSpec) -> DataFrame:
@@ -59,8 +63,7 @@ def evolve_adaptive(psi: DataFrame, links: DataFrame, spec: MeshSpec, mass: floa
     """
     for k in range(1, steps + 1):
         fluxes = written(gauge.covariant_face_fluxes(psi, links, spec, -dt / (2.0 * mass)))
-        h = gauge.hamiltonian(psi, links, spec, mass, potential, levels=True).withColumnsRenamed({"re": "_re", "im": "_im"})
-        psi = written(psi.join(h, ["level", *spec.g]).select("level", *spec.g, *((F.col(c) - dt * F.col(f"_{c}")).alias(c) for c in ("re", "im"))))
+        psi = _stepped(gauge.beside_hamiltonian(psi, links, spec, mass, potential, levels=True), spec, dt)
         for c in ("re", "im"):
             psi = flux.reflux(psi, flux.flux_register(fluxes, spec, flux=c), spec, c)
         psi = written(psi)

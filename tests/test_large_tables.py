@@ -12,3 +12,13 @@ def test_links_and_halos_are_not_broadcast(spark, sf_dir):
     """Files of links are far smaller than their rows; under the default threshold whole tables went to the driver."""
     for name in ("cov_laplacian_levels", "cov_face_fluxes_u1", "synced_links_u1", "halo_fine_to_coarse"):
         assert broadcast_joins(entry.queries()[name](spark, sf_dir)) == [], name
+
+
+def test_a_step_over_levels_is_not_broadcast(spark, sf_dir, monkeypatch):
+    """Neither the tables that a step writes nor its result come from a broadcast of cells; the norm, one row, is."""
+    from meshlark.plans import evolution
+
+    seen, put = [], evolution.written
+    monkeypatch.setattr(evolution, "written", lambda df: (seen.append(broadcast_joins(df)), put(df))[1])
+    entry.queries()["imaginary_step_levels"](spark, sf_dir)
+    assert len(seen) >= 3 and seen == [[]] * len(seen)
