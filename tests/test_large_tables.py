@@ -22,3 +22,35 @@ def test_a_step_over_levels_is_not_broadcast(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(evolution, "written", lambda df: (seen.append(broadcast_joins(df)), put(df))[1])
     entry.queries()["imaginary_step_levels"](spark, sf_dir)
     assert len(seen) >= 3 and seen == [[]] * len(seen)
+
+
+def test_kernel_calls_are_few(spark):
+    """A call of pandas serves many blocks: 128 blocks of a small lattice took 128 calls; the kernel still sees one block with its ghosts."""
+    from pyspark.sql import functions as F
+
+    from meshlark.operators import stencil
+    from meshlark.spec import MeshSpec
+
+    spec = MeshSpec((32, 64), 4, (True, False))
+    cells = spark.range(32 * 64).select(F.lit(0).alias("level"), (F.col("id") % 32).alias("g0"), F.floor(F.col("id") / 32).cast("long").alias("g1"), (F.col("id") * 7 % 101).cast("double").alias("u"))
+    cells = cells.where("g0 != 5 or g1 != 9")
+
+    def kernel(u, ghosts, level):
+        assert u.shape == (4, 4) and all(g.shape == (4,) for g in ghosts.values())
+        out = -4 * u
+        out[1:] += u[:-1]
+        out[:-1] += u[1:]
+        out[:, 1:] += u[:, :-1]
+        out[:, :-1] += u[:, 1:]
+        out[-1] += ghosts[0]
+        out[0] += ghosts[1]
+        out[:, -1] += ghosts[2]
+        out[:, 0] += ghosts[3]
+        return out
+
+    new = stencil.apply_kernel(cells, spec, kernel)
+    got = {(r["g0"], r["g1"]): r["u"] for r in new.collect()}
+    want = {(r["g0"], r["g1"]): r["lap"] for r in stencil.laplacian(cells, spec).collect()}
+    assert got == want and len(got) == 32 * 64 - 1
+    plan = new._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas [level" in plan and "b0#" not in plan.split("FlatMapGroupsInPandas")[1].split("],")[0]
