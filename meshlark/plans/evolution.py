@@ -31,12 +31,16 @@ def normalize(psi: DataFrame, spec: MeshSpec) -> DataFrame:
 
 
 def evolve(psi: DataFrame, links: DataFrame, spec: MeshSpec, mass: float, potential: Column, dt: float, steps: int, normalize_every: int = 1) -> DataFrame:
-    """`steps` steps of imaginary time, normalized every so often and at the end."""
+    """`steps` steps of imaginary time, normalized every so often and at the end.
+
+    The links are written once; a step is written before its norm is taken, as the norm and the division both read it.
+    """
+    if steps > 0:
+        psi, links = written(psi), written(links)
     for k in range(1, steps + 1):
-        psi = imaginary_step(psi, links, spec, mass, potential, dt)
+        psi = written(imaginary_step(psi, links, spec, mass, potential, dt))
         if normalize_every and k % normalize_every == 0:
             psi = normalize(psi, spec)
-        psi = written(psi)
     return normalize(psi, spec)
 
 

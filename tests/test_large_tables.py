@@ -54,3 +54,14 @@ def test_kernel_calls_are_few(spark):
     assert got == want and len(got) == 32 * 64 - 1
     plan = new._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInPandas [level" in plan and "b0#" not in plan.split("FlatMapGroupsInPandas")[1].split("],")[0]
+
+
+def test_a_step_is_computed_once(spark, sf_dir, monkeypatch):
+    """Fields and links are written first, then one table a step, before its norm is taken; no step works on the lineitems again."""
+    from meshlark.plans import evolution
+
+    plans, put = [], evolution.written
+    monkeypatch.setattr(evolution, "written", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), put(df))[1])
+    entry.queries()["evolve_five_steps"](spark, sf_dir)
+    assert len(plans) == 7 and all("l_quantity" in p for p in plans[:2])
+    assert not any("l_quantity" in p for p in plans[2:])
