@@ -50,7 +50,7 @@ def adapt_mesh(spark, sf_dir):
 @query("v_cycle")
 def v_cycle(spark, sf_dir):
     """Two V-cycles of the Poisson equation on level 1, the source being the lattice less its mean: squared residual after each."""
-    fine = plain(spark, sf_dir).withColumn("level", F.lit(1))
+    fine = E.written(plain(spark, sf_dir).withColumn("level", F.lit(1)))
     mean = fine.agg(F.avg("u").alias("m"))
     half = MeshSpec(tuple(n // 2 for n in SPEC.sites), SPEC.block_size, True, 2.0, 3)
     f = E.written(fine.crossJoin(F.broadcast(mean)).select("level", *SPEC.g, (F.col("u") - F.col("m")).alias("u")))

@@ -99,9 +99,91 @@ def apply_kernel(cells: DataFrame, spec: MeshSpec, kernel: Callable[[np.ndarray,
     return own.unionByName(beyond).groupBy("level", *patches).applyInPandas(run, schema)
 
 
+#: Cells of the arrays in which tiles are relaxed: those of a tile, and at most those with its ghosts.
+TILE, ROOM = 1 << 14, 1 << 22
+
+
+def _tile_shift(spec: MeshSpec) -> int:
+    """log2 of a tile's side: whole blocks, at most TILE cells beyond the first."""
+    return max(spec.shift, (TILE.bit_length() - 1) // spec.nd)
+
+
+def sweeps_at_once(spec: MeshSpec) -> int:
+    """How many sweeps a tile can make from one exchange, as many ghosts deep; 0 if one layer of ghosts has no room."""
+    side = 1 << _tile_shift(spec)
+    return max((w for w in range(1, spec.block_size + 1) if (side + 2 * w) ** spec.nd <= ROOM), default=0)
+
+
+def _in_tiles(cells: DataFrame, spec: MeshSpec, value: str, kind: int, deep: int) -> DataFrame:
+    """level, t0 ... (tile), p0 ... (place from the tile's corner), _kind, _v: every cell in its tile and, up to `deep` beyond its sides, in others."""
+    shift, last = _tile_shift(spec), F.lit((1 << _tile_shift(spec)) - 1)
+    t, p = [f"t{d}" for d in range(spec.nd)], [f"p{d}" for d in range(spec.nd)]
+    held = cells.where(F.col(value).isNotNull()).select("level", *spec.g, F.lit(kind).alias("_kind"), F.col(value).cast("double").alias("_v"))
+    own = held.select("level", *(A.shr(g, shift).alias(n) for g, n in zip(spec.g, t, strict=True)), *(F.col(g).bitwiseAND(last).alias(n) for g, n in zip(spec.g, p, strict=True)), "_kind", "_v")
+    near, rim = F.lit(False), held
+    for d, g in enumerate(spec.g):
+        at = F.col(g).bitwiseAND(last)
+        near = near | (at < deep) | (at > last - deep) | (F.col(g) >= A.extent(spec, d, F.col("level")) - deep)
+    rim = rim.where(near)
+    for d, g in enumerate(spec.g):
+        n, places = A.extent(spec, d, F.col("level")), []
+        for turn in (-1, 0, 1) if spec.periodic[d] else (0,):
+            image = F.col(g) + turn * n
+            for by in (-1, 0, 1):
+                tile = A.shr(image, shift) + by
+                start = A.shl(tile, shift)
+                there = (tile >= 0) & (start < n) & (image >= start - deep) & (image < F.least(start + last + 1, n) + deep)
+                places.append(F.when(there, F.struct(tile.alias(t[d]), (image - start).alias(p[d]), F.lit(turn == 0 and by == 0).alias(f"_home{d}"))))
+        rim = rim.select("*", F.explode(F.filter(F.array(*places), lambda x: x.isNotNull())).alias("_x")).select("*", "_x.*").drop("_x")
+    home = F.lit(True)
+    for d in range(spec.nd):
+        home = home & F.col(f"_home{d}")
+    return own.unionByName(rim.where(~home).select(*own.columns))
+
+
+def relaxed(u: DataFrame, f: DataFrame, spec: MeshSpec, sweeps: int, weight: float = 0.8, residual: bool = False) -> DataFrame:
+    """u after weighted Jacobi sweeps of lap u = f, or then f - lap u; cells that u and f both have, what else lies around counts as 0.
+
+    Tiles meet with as many layers of ghosts as there are sweeps (residual: one more), so one exchange serves them all.
+    """
+    deep = sweeps + bool(residual)
+    if not 0 < deep <= sweeps_at_once(spec):
+        raise ValueError("as many sweeps as sweeps_at_once() allows, one at least")
+    side, nd, g, sites, spacing = 1 << _tile_shift(spec), spec.nd, spec.g, spec.sites, spec.spacing
+    t, p = [f"t{d}" for d in range(nd)], [f"p{d}" for d in range(nd)]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        level, corner = int(key[0]), [int(k) * side for k in key[1:]]
+        h2 = (spacing / 2**level) ** 2
+        at = pdf[p].to_numpy() + deep
+        field, has = np.zeros((2, *(side + 2 * deep,) * nd)), np.zeros((2, *(side + 2 * deep,) * nd), bool)
+        where = (pdf["_kind"].to_numpy(), *(at[:, d] for d in range(nd)))
+        field[where], has[where] = pdf["_v"].to_numpy(), True
+        now, both = field[0], has[0] & has[1]
+
+        def lap(x: np.ndarray) -> np.ndarray:
+            out = -2.0 * nd * x
+            for d in range(nd):
+                low, high = (np.s_[:],) * d + (np.s_[:-1],), (np.s_[:],) * d + (np.s_[1:],)
+                out[high] += x[low]
+                out[low] += x[high]
+            return out / h2
+
+        for _ in range(sweeps):
+            now = np.where(both, now + weight * h2 / (2.0 * nd) * (lap(now) - field[1]), 0.0)
+        if residual:
+            now = field[1] - lap(now)
+        inner = tuple(slice(deep, deep + min(side, (sites[d] << level) - corner[d])) for d in range(nd))
+        cells = np.nonzero(both[inner])
+        return pd.DataFrame({"level": np.full(len(cells[0]), level, np.int32)} | {n: c + o for n, c, o in zip(g, cells, corner, strict=True)} | {"u": now[inner][cells]})
+
+    rows = _in_tiles(u, spec, "u", 0, deep).unionByName(_in_tiles(f, spec, "u", 1, deep))
+    return rows.groupBy("level", *t).applyInPandas(run, f"level int, {', '.join(f'{n} long' for n in g)}, u double")
+
+
 def with_potential(cells: DataFrame, spec: MeshSpec, potential: Callable[[list[Column], Column], Column]) -> DataFrame:
     """cells and v, the potential at their places: potential(positions, spacing)."""
     return cells.withColumn("v", potential(A.positions(spec), A.spacing(spec)))
 
 
-__all__ = ["Iterator", "apply_kernel", "block_gradient", "diffusion_step", "heat_step", "laplacian", "neighbor_sum", "with_potential"]
+__all__ = ["Iterator", "apply_kernel", "block_gradient", "diffusion_step", "heat_step", "laplacian", "neighbor_sum", "relaxed", "sweeps_at_once", "with_potential"]

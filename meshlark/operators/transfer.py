@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshlark.functions import address as A
+from meshlark.operators._common import merged
 from meshlark.spec import MeshSpec
 
 
@@ -39,7 +40,7 @@ def restrict_into(cells: DataFrame, fine: DataFrame, spec: MeshSpec, value: str
 def prolongate_into(cells: DataFrame, coarse: DataFrame, spec: MeshSpec, value: str = "u", add: bool = False) -> DataFrame:
     """cells with the value of the coarse cell above them, or that added."""
     above = coarse.select((F.col("level") + 1).alias("level"), *(F.col(g).alias(f"_{g}") for g in spec.g), F.col(value).alias("_p"))
-    out = cells.select("*", *(A.shr(g, 1).alias(f"_{g}") for g in spec.g)).join(above, ["level", *(f"_{g}" for g in spec.g)], "left")
+    out = cells.select("*", *(A.shr(g, 1).alias(f"_{g}") for g in spec.g)).join(merged(above), ["level", *(f"_{g}" for g in spec.g)], "left")
     new = F.col(value) + F.coalesce("_p", F.lit(0.0)) if add else F.coalesce("_p", value)
     return out.withColumn(value, new).select(*cells.columns)
 

@@ -136,24 +136,33 @@ def jacobi(u: DataFrame, f: DataFrame, spec: MeshSpec, weight: float = 0.8) -> D
     return out.select("level", *spec.g, (F.col("u") + weight * h2 / (2.0 * spec.nd) * (F.col("lap") - F.col("_f"))).alias("u"))
 
 
+def smoothed(u: DataFrame, f: DataFrame, spec: MeshSpec, sweeps: int, smoother=jacobi) -> DataFrame:
+    """u after that many sweeps, written; Jacobi sweeps go by as many at once as the tiles have room for."""
+    most = stencil.sweeps_at_once(spec) if smoother is jacobi else 0
+    while sweeps > 0:
+        n = min(most, sweeps) or 1
+        u = written(stencil.relaxed(u, f, spec, n) if most else smoother(u, f, spec))
+        sweeps -= n
+    return u
+
+
 def residual(u: DataFrame, f: DataFrame, spec: MeshSpec) -> DataFrame:
     """f - lap u."""
+    if stencil.sweeps_at_once(spec):
+        return stencil.relaxed(u, f, spec, 0, residual=True)
     out = stencil.laplacian(u, spec).join(f.select("level", *spec.g, F.col("u").alias("_f")), ["level", *spec.g])
     return out.select("level", *spec.g, (F.col("_f") - F.col("lap")).alias("u"))
 
 
 def v_cycle(u: DataFrame, f: DataFrame, spec: MeshSpec, level: int, sweeps: int = 2, coarsest_sweeps: int = 8, smoother=jacobi) -> DataFrame:
     """One V-cycle for lap u = f on a uniform level: smooth, restrict the residual, recurse, add the correction, smooth."""
-    for _ in range(coarsest_sweeps if level == 0 else sweeps):
-        u = written(smoother(u, f, spec))
+    u = smoothed(u, f, spec, coarsest_sweeps if level == 0 else sweeps, smoother)
     if level == 0:
         return u
     r = written(transfer.restrict(residual(u, f, spec), spec))
     e = v_cycle(r.withColumn("u", F.lit(0.0)), r, spec, level - 1, sweeps, coarsest_sweeps, smoother)
     u = written(transfer.prolongate_into(u, e, spec, add=True))
-    for _ in range(sweeps):
-        u = written(smoother(u, f, spec))
-    return u
+    return smoothed(u, f, spec, sweeps, smoother)
 
 
 def noise_schedule(spark, steps: int = 1000, first: float = 1e-4, last: float = 0.02) -> DataFrame:

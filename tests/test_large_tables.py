@@ -65,3 +65,46 @@ def test_a_step_is_computed_once(spark, sf_dir, monkeypatch):
     entry.queries()["evolve_five_steps"](spark, sf_dir)
     assert len(plans) == 7 and all("l_quantity" in p for p in plans[:2])
     assert not any("l_quantity" in p for p in plans[2:])
+
+
+def test_sweeps_in_tiles(spark, monkeypatch):
+    """Several sweeps from one exchange give what single sweeps give: tiles, cut tiles, wrapped, open and missing cells, one tile alone."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from meshlark.operators import stencil
+    from meshlark.plans import evolution
+    from meshlark.spec import MeshSpec
+
+    for sites, periodic, tile, sweeps in (((24, 40), True, 1 << 8, 4), ((8, 8), (True, False), 1 << 14, 4), ((40, 12), False, 1 << 6, 3), ((12, 8, 4), True, 1 << 6, 4)):
+        monkeypatch.setattr(stencil, "TILE", tile)
+        spec, n = MeshSpec(sites, 4, periodic, 2.0), int(np.prod(sites)) * 2 ** len(sites)
+        at, below = [], 1
+        for s, g in zip(sites, spec.g, strict=True):
+            at.append((F.floor(F.col("id") / below) % (2 * s)).cast("long").alias(g))
+            below *= 2 * s
+        u = spark.range(n).where("id % 17 > 0").select(F.lit(1).alias("level"), *at, (F.col("id") * 7 % 101 / 10).alias("u"))
+        f = spark.range(n).where("id % 29 > 0").select(F.lit(1).alias("level"), *at, (F.col("id") * 11 % 37 / 10).alias("u"))
+        one = u
+        for _ in range(sweeps):
+            one = evolution.written(evolution.jacobi(one, f, spec))
+        lap = stencil.laplacian(one, spec).join(f.withColumnRenamed("u", "f"), ["level", *spec.g]).select("level", *spec.g, (F.col("f") - F.col("lap")).alias("u"))
+        many = stencil.relaxed(u, f, spec, sweeps)
+        for got, want in ((many, one), (evolution.residual(one, f, spec), lap)):
+            got, want = ({tuple(r)[:-1]: r["u"] for r in df.collect()} for df in (got, want))
+            assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want), (sites, periodic)
+
+
+def test_a_v_cycle_writes_few_steps(spark, monkeypatch):
+    """Smoothing, correction and smoothing on two levels: 14 tables for each cycle of single sweeps."""
+    from pyspark.sql import functions as F
+
+    from meshlark.plans import evolution
+    from meshlark.spec import MeshSpec
+
+    seen, put = [], evolution.written
+    monkeypatch.setattr(evolution, "written", lambda df: (seen.append(1), put(df))[1])
+    spec = MeshSpec((8, 8), 8, True, 2.0)
+    f = spark.range(256).select(F.lit(1).alias("level"), (F.col("id") % 16).alias("g0"), F.floor(F.col("id") / 16).cast("long").alias("g1"), (F.col("id") % 2 - 0.5).alias("u"))
+    assert evolution.v_cycle(f.withColumn("u", F.lit(0.0)), f, spec, 1).count() == 256
+    assert len(seen) == 5
